@@ -29,7 +29,7 @@ from coursemill.learning.evaluate import auc
 from coursemill.operators.ranking import shuffled_rank, uniform_key
 from coursemill.operators.rollups import top_rows
 from coursemill.plans.cohort import KEYS
-from coursemill.session import checkpoint_ready
+from coursemill.session import checkpoint_ready, materialise
 
 # Tuned settings and the searched grid.
 FOREST_TREES = 1000
@@ -238,6 +238,8 @@ class KernelMachine:
         self.width = len(self.scaler.mean)
         weight = F.when(F.col("label") == 1, float(self.weights[1])).otherwise(float(self.weights[0]))
         lifted = with_folds(self._lift(df).withColumn("_weight", weight), keys, self.platt_folds, self.seed)
+        # Read by every fold's fit and scoring: project once.
+        lifted = materialise(lifted.select("label", "fourier", "_weight", "fold"), "fourier")
         svc = LinearSVC(
             featuresCol="fourier", weightCol="_weight", rawPredictionCol="_raw", predictionCol="_class", maxIter=self.max_iter
         )
@@ -366,7 +368,8 @@ def learning_curve(
                 {"fold": F.lit(k), "part": F.lit(part)}
             )
             logs = curve if logs is None else logs.unionByName(curve)
-    per_fold = auc(logs, groups=["part", "fold", "iter"])
+    # Trees are evaluated once; the AUC passes over the written scores.
+    per_fold = auc(materialise(logs, "curve"), groups=["part", "fold", "iter"])
 
     def of(part: str) -> Column:
         return F.when(F.col("part") == part, F.col("auc"))

@@ -1,7 +1,8 @@
 """Code and name mapping: crosswalks with key repair, roll-ups, dictionaries.
 
-Mappings are computed over the distinct codes of a table (a small, map-side-combined set) and put
-back with one join, so the repair steps never touch the full row volume.
+Dictionaries hold one row per code. Where Spark finds them small they are broadcast and lookups
+stay in the scanning stage; otherwise they are shuffled joins with AQE skew handling. Callers
+reduce rows to distinct (entity, code) first.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from coursemill.functions.nulls import nonblank
 from coursemill.operators.joins import drop_members, keep_members, map_values
 from coursemill.operators.rollups import first_by_order
+from coursemill.session import materialise
 
 # The rolled-up category that is kept at full length, its label, and the label of
 # codes without a category.
@@ -48,32 +50,31 @@ def map_codes(
 ) -> DataFrame:
     """Add ``code_final`` (the spelling that matched) and ``code_mapped`` (its target).
 
-    With ``keep_unmatched`` a code without a match keeps its last padded spelling as the target;
-    otherwise its rows are dropped.
+    Spellings are tried in order: as is; with a 0 appended if it has three characters; with a 0
+    appended if it then has four; with ``last_nine``, with the last character of more than three
+    replaced by 9. With ``keep_unmatched`` a code without a match keeps its last padded spelling as
+    the target; otherwise its rows are dropped. ``crosswalk`` has one row per ``source`` code.
     """
-    distinct = df.select(F.col(code).alias("_code")).where(F.col("_code").isNotNull()).distinct()
-    once = F.when(F.length("_code") == 3, F.concat("_code", F.lit("0"))).otherwise(F.col("_code"))
-    twice = F.when(F.length("_once") == 4, F.concat("_once", F.lit("0"))).otherwise(F.col("_once"))
-    closing = F.when(
-        F.length("_twice") > 3, F.concat(F.expr("left(_twice, length(_twice) - 1)"), F.lit("9"))
-    ).otherwise(F.col("_twice"))
-    spelled = distinct.withColumn("_once", once).withColumn("_twice", twice)
-    spellings = ["_code", "_once", "_twice"]
+    spelled = df.withColumn("_s0", F.col(code))
+    spelled = spelled.withColumn("_s1", F.when(F.length("_s0") == 3, F.concat("_s0", F.lit("0"))).otherwise(F.col("_s0")))
+    spelled = spelled.withColumn("_s2", F.when(F.length("_s1") == 4, F.concat("_s1", F.lit("0"))).otherwise(F.col("_s1")))
+    tries = ["_s0", "_s1", "_s2"]
     if last_nine:
-        spelled = spelled.withColumn("_nine", closing)
-        spellings.append("_nine")
-    tried = spelled.select("_code", "_twice", F.posexplode(F.array(*spellings)).alias("_try", "_spelling"))
-    lookup = crosswalk.select(F.col(source).alias("_spelling"), F.col(target).alias("_target"))
-    first_hit = F.min_by(
-        F.struct("_spelling", "_target"), F.when(F.col("_target").isNotNull(), F.col("_try"))
+        closing = F.concat(F.expr("left(_s2, length(_s2) - 1)"), F.lit("9"))
+        spelled = spelled.withColumn("_s3", F.when(F.length("_s2") > 3, closing).otherwise(F.col("_s2")))
+        tries.append("_s3")
+    lookup = crosswalk.select(F.col(source).alias("_source"), F.col(target).alias("_target"))
+    for spelling in tries:
+        found = lookup.withColumnsRenamed({"_source": f"{spelling}_key", "_target": f"{spelling}_hit"})
+        spelled = spelled.join(found, F.col(spelling) == F.col(f"{spelling}_key"), "left").drop(f"{spelling}_key")
+    hits = [F.col(f"{t}_hit") for t in tries]
+    final = F.coalesce(*[F.when(h.isNotNull(), F.col(t)) for t, h in zip(tries, hits)], F.col("_s2"))
+    mapped = F.coalesce(*hits, *([F.col("_s2")] if keep_unmatched else []))
+    return (
+        spelled.withColumns({"code_final": final, "code_mapped": mapped})
+        .drop(*tries, *[f"{t}_hit" for t in tries])
+        .where(F.col("code_mapped").isNotNull())
     )
-    hits = tried.join(lookup, "_spelling", "left").groupBy("_code", "_twice").agg(first_hit.alias("_hit"))
-    resolved = hits.select(
-        "_code",
-        F.coalesce(F.col("_hit._spelling"), F.col("_twice")).alias("code_final"),
-        F.coalesce(F.col("_hit._target"), F.col("_twice") if keep_unmatched else F.lit(None)).alias("code_mapped"),
-    ).where(F.col("code_mapped").isNotNull())
-    return df.join(resolved, F.col(code) == F.col("_code")).drop("_code")
 
 
 def roll_up(code: Column) -> Column:
@@ -112,22 +113,15 @@ def describe_codes(
 
     ``terms`` and ``short_terms`` are ``(code, short_desc)`` with one row per code.
     """
-    distinct = df.select(F.col(code).alias("_code")).where(F.col("_code").isNotNull()).distinct()
-    # (dictionary, spelling) pairs in falling order of preference
-    dictionary = terms.select(F.lit(0).alias("_dict"), F.col("code").alias("_spelling"), F.col("short_desc"))
-    lookups = [(0, F.col("_code")), (0, F.substring("_code", 1, 4))]
+    lookups = [(terms, F.col(code)), (terms, F.substring(code, 1, 4))]
     if short_terms is not None:
-        dictionary = dictionary.unionByName(
-            short_terms.select(F.lit(1).alias("_dict"), F.col("code").alias("_spelling"), "short_desc")
-        )
-        lookups.append((1, F.col("_code")))
-    attempts = F.array(*[F.struct(F.lit(d).alias("_dict"), s.alias("_spelling")) for d, s in lookups])
-    tried = distinct.select("_code", F.posexplode(attempts).alias("_try", "_a")).select("_code", "_try", "_a.*")
-    best = F.min_by("short_desc", F.when(F.col("short_desc").isNotNull(), F.col("_try")))
-    resolved = (
-        tried.join(dictionary, ["_dict", "_spelling"], "left").groupBy("_code").agg(best.alias("description"))
-    )
-    joined = df.join(resolved, F.col(code) == F.col("_code"), "left").drop("_code")
+        lookups.append((short_terms, F.col(code)))
+    joined = df
+    for i, (dictionary, spelling) in enumerate(lookups):
+        found = dictionary.select(F.col("code").alias("_key"), F.col("short_desc").alias(f"_d{i}"))
+        joined = joined.join(found, spelling == F.col("_key"), "left").drop("_key")
+    found_at = [f"_d{i}" for i in range(len(lookups))]
+    joined = joined.withColumn("description", F.coalesce(*found_at)).drop(*found_at)
     if unmatched is None:
         return joined.where(F.col("description").isNotNull())
     return joined.withColumn("description", F.coalesce("description", F.lit(unmatched)))
@@ -142,13 +136,26 @@ def canonical_names(
     2. a result that equals some test's description becomes the first name listed for it;
     3. rows left without a name are dropped.
     """
-    both = df.where(nonblank(F.col(base)) & nonblank(F.col(test)))
-    base_of_test = first_by_order(both, test, base, order, "_base")
-    renamed = map_values(df.withColumn(alias, F.col(test)), alias, base_of_test, test, "_base")
-    described = renamed.where(nonblank(F.col(alias)) & nonblank(F.col(description)))
-    name_of_description = first_by_order(described, description, alias, order, "_name")
-    final = map_values(renamed, alias, name_of_description, description, "_name")
-    return final.where(nonblank(F.col(alias)))
+    # All three steps depend on the distinct names only. That vocabulary is written once, and the
+    # lab rows meet a single small (test name, canonical name) mapping.
+    vocabulary = materialise(
+        df.groupBy(F.col(test).alias("_t"), F.col(base).alias("_b"), F.col(description).alias("_d")).agg(
+            F.min(order).alias("_o")
+        ),
+        "lab_names",
+    )
+    both = vocabulary.where(nonblank(F.col("_b")) & nonblank(F.col("_t")))
+    base_of_test = first_by_order(both, "_t", "_b", "_o", "_base")
+    renamed = map_values(vocabulary.withColumn("_name", F.col("_t")), "_name", base_of_test, "_t", "_base")
+    described = renamed.where(nonblank(F.col("_name")) & nonblank(F.col("_d")))
+    name_of_description = first_by_order(described, "_d", "_name", "_o")
+    tests = renamed.select("_t", "_name").distinct()
+    mapping = map_values(
+        tests, "_name", name_of_description.withColumnRenamed("_name", "_first"), "_d", "_first"
+    ).where(nonblank(F.col("_name")))
+    return (
+        df.join(mapping, F.col(test) == F.col("_t")).drop("_t").withColumnRenamed("_name", alias)
+    )
 
 
 def drug_classes(dictionary: DataFrame) -> DataFrame:

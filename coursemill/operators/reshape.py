@@ -38,13 +38,15 @@ def prefixed(prefix: str, name: Column, missing: str = "NA") -> Column:
     return F.concat(F.lit(prefix), F.coalesce(name, F.lit(missing)))
 
 
-def long_features(df: DataFrame, keys: Iterable[str], family: str, prefix: str, name: str) -> DataFrame:
-    """Distinct presence rows ``(keys, family, feature, value=1)``."""
-    return df.select(
-        *keys,
-        F.lit(family).alias(FAMILY),
-        prefixed(prefix, F.col(name)).alias(FEATURE),
-    ).distinct().withColumn(VALUE, F.lit(1.0))
+def long_features(
+    df: DataFrame, keys: Iterable[str], family: str, prefix: str, name: str, unique: bool = False
+) -> DataFrame:
+    """Distinct presence rows ``(keys, family, feature, value=1)``.
+
+    ``unique`` says that (keys, name) are distinct already, which spares a shuffle of the result.
+    """
+    rows = df.select(*keys, F.lit(family).alias(FAMILY), prefixed(prefix, F.col(name)).alias(FEATURE))
+    return (rows if unique else rows.distinct()).withColumn(VALUE, F.lit(1.0))
 
 
 def pivot_indicators(long: DataFrame, keys: Iterable[str], names: list[str] | None = None) -> DataFrame:

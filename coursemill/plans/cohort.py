@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursemill.functions.nulls import strict
+from coursemill.functions.nulls import drop_incomplete, strict
 from coursemill.functions.text import has_text, with_flags
 from coursemill.operators.intervals import point_in_interval
 from coursemill.operators.joins import attach_surrogate, keep_members, remap_ids
@@ -83,6 +83,25 @@ def edge_charges(core: DataFrame, edge: DataFrame, id_col: str = "patient_id") -
     return core.unionByName(extra, allowMissingColumns=True)
 
 
+def treatment_rows(
+    charges: DataFrame,
+    non_treatment: Iterable[str] = NON_TREATMENT,
+    techniques: Mapping[str, Mapping[str, Iterable[str]]] = TECHNIQUES,
+) -> DataFrame:
+    """Complete charges that are treatments, with technique flags. Filters and projections only."""
+    treatments = drop_incomplete(charges).where(~has_text(F.col("description"), non_treatment))
+    return with_flags(treatments, "description", techniques)
+
+
+def identify(rows: DataFrame, people: DataFrame, id_changes: DataFrame | None = None) -> DataFrame:
+    """Current record number ``mrn`` and surrogate ``pid`` in place of ``patient_id``; strangers go."""
+    current = rows if id_changes is None else remap_ids(rows, id_changes, "patient_id", "old_id", "new_id")
+    known = attach_surrogate(
+        current.withColumnRenamed("patient_id", "mrn"), people, "mrn", "pid", complete_rows=False
+    )
+    return known.where(F.col("pid").isNotNull())
+
+
 def treatment_charges(
     charges: DataFrame,
     people: DataFrame,
@@ -90,11 +109,8 @@ def treatment_charges(
     non_treatment: Iterable[str] = NON_TREATMENT,
     techniques: Mapping[str, Mapping[str, Iterable[str]]] = TECHNIQUES,
 ) -> DataFrame:
-    """Charges under current ids with a surrogate id, treatments only, with technique flags."""
-    current = charges if id_changes is None else remap_ids(charges, id_changes, "patient_id", "old_id", "new_id")
-    known = attach_surrogate(current.withColumnRenamed("patient_id", "mrn"), people, "mrn", "pid")
-    treatments = known.where(~has_text(F.col("description"), non_treatment))
-    return with_flags(treatments, "description", techniques)
+    """Row by row: treatments with technique flags under current ids."""
+    return identify(treatment_rows(charges, non_treatment, techniques), people, id_changes)
 
 
 def assign_courses(cohort: DataFrame, charges: DataFrame, on: str = "mrn", bucket_days: int = 64) -> DataFrame:
@@ -104,22 +120,26 @@ def assign_courses(cohort: DataFrame, charges: DataFrame, on: str = "mrn", bucke
 
 def course_spine(
     cohort: DataFrame,
-    charges: DataFrame,
+    treatments: DataFrame,
+    people: DataFrame,
+    id_changes: DataFrame | None = None,
     techniques: Iterable[str] = tuple(TECHNIQUES),
     excluded: Iterable[str] = EXCLUDED_TECHNIQUES,
     bucket_days: int = 64,
 ) -> DataFrame:
     """One row per (pid, course) with dates, amounts, technique flags and usual attending.
 
-    Equals a roll-up over ``assign_courses``, but charges are first summed per patient, day and
-    attending, and courses reduced to distinct date ranges, so that a patient with very many charges
+    ``treatments`` come from ``treatment_rows``. The result equals a roll-up over
+    ``assign_courses``, but charges are summed per patient, day and attending before anything is
+    joined, and courses reduced to distinct date ranges, so that a patient with very many charges
     or courses meets at most one row per day and attending for each range. Courses without any
     charge, and those with an excluded technique, are left out.
     """
     techniques, excluded = list(techniques), list(excluded)
-    daily = charges.groupBy("mrn", "pid", "service_date", "attending").agg(
+    per_day = treatments.groupBy("patient_id", "service_date", "attending").agg(
         F.count(F.lit(1)).alias("_charges"), *[F.max(t).alias(t) for t in techniques]
     )
+    daily = identify(per_day, people, id_changes)
     ranges = cohort.select("mrn", "start", "end").distinct()
     per_range = (
         point_in_interval(daily, ranges, ["mrn"], "service_date", "start", "end", bucket_days)

@@ -242,8 +242,8 @@ def first_seen(spine: DataFrame, events: DataFrame, values: Iterable[str], day:
     """
     values = list(values)
     firsts = events.groupBy("pid", *values).agg(F.min(day).alias("_first"))
-    met = firsts.join(_starts(spine), "pid").where(F.col("_first") <= F.col("start"))
-    return _to_courses(spine, met.drop("_first"))
+    met = spine.select(*KEYS, "start").join(firsts, "pid").where(F.col("_first") <= F.col("start"))
+    return met.select(*KEYS, *values)
 
 
 def prior_procedures(
@@ -251,7 +251,7 @@ def prior_procedures(
 ) -> DataFrame:
     """Presence of each procedure category (or code description) before the course."""
     named = events.where(nonblank(F.col(name)))
-    return long_features(first_seen(spine, named, [name], day), KEYS, family, prefix, name)
+    return long_features(first_seen(spine, named, [name], day), KEYS, family, prefix, name, unique=True)
 
 
 def abnormal_labs(
@@ -270,7 +270,7 @@ def abnormal_labs(
         .select("pid", "start", "canonical")
         .distinct()
     )
-    return long_features(_to_courses(spine, hits), KEYS, "lab", "", "canonical")
+    return long_features(_to_courses(spine, hits), KEYS, "lab", "", "canonical", unique=True)
 
 
 # --- medications ------------------------------------------------------------------------------
@@ -315,24 +315,52 @@ def drug_states(spine: DataFrame, orders: DataFrame, bucket_days: int = 64) -> D
     )
 
 
-_STATE_PREFIX = {"recent": "rec_", "concurrent": "con_", "current": "cur_"}
+AGENT_FAMILIES = ("recagent", "conagent", "recclass", "conclass")
+CLASS_FAMILIES = ("recmed", "curmed")
 
 
-def _state_features(spine: DataFrame, per_start: DataFrame, states: dict[str, str], name: str) -> DataFrame:
-    """Long rows for the given states; ``states`` maps state to family."""
-    to_family = F.create_map(*[F.lit(x) for pair in states.items() for x in pair])
-    to_prefix = F.create_map(*[F.lit(x) for pair in _STATE_PREFIX.items() for x in pair])
-    labelled = (
-        per_start.where(F.col("state").isin(list(states)))
-        .select(
-            "pid",
-            "start",
-            to_family[F.col("state")].alias("family"),
-            F.concat(to_prefix[F.col("state")], F.coalesce(F.col(name), F.lit("NA"))).alias("feature"),
-        )
+def drug_features(
+    spine: DataFrame,
+    orders: DataFrame,
+    dictionary: DataFrame,
+    keyword: str = codes.AGENT_CLASS_KEYWORD,
+    exclude: Iterable[str] = codes.EXCLUDED_INGREDIENTS,
+    families: Iterable[str] = AGENT_FAMILIES + CLASS_FAMILIES,
+) -> DataFrame:
+    """Drug families in one pass over the orders.
+
+    ``recagent`` / ``conagent`` and ``recclass`` / ``conclass``: recent and concurrent systemic agents
+    and all their classes. ``recmed`` / ``curmed``: classes of all recent and all current drugs. A drug
+    that the dictionary does not list counts under the class ``NA``.
+    """
+    families = list(families)
+    classes = codes.drug_classes(dictionary)
+    agents = codes.cohort_ingredients(classes, orders, keyword, exclude).withColumn("_agent", F.lit(True))
+    known = classes.join(agents, "ingredient", "left")
+    taken = drug_states(spine, orders).join(known, "drug_name", "left")
+
+    def entry(family: str, state: str, prefix: str, name: str, agents_only: bool) -> Column:
+        applies = F.col("state") == state
+        if agents_only:
+            applies = applies & F.col("_agent").isNotNull()
+        feature = F.concat(F.lit(prefix), F.coalesce(F.col(name), F.lit("NA")))
+        return F.when(applies, F.struct(F.lit(family).alias("family"), feature.alias("feature")))
+
+    entries = {
+        "recagent": entry("recagent", "recent", "rec_", "ingredient", True),
+        "conagent": entry("conagent", "concurrent", "con_", "ingredient", True),
+        "recclass": entry("recclass", "recent", "rec_", "class", True),
+        "conclass": entry("conclass", "concurrent", "con_", "class", True),
+        "recmed": entry("recmed", "recent", "rec_", "class", False),
+        "curmed": entry("curmed", "current", "cur_", "class", False),
+    }
+    per_start = (
+        taken.select("pid", "start", F.explode(F.array(*[entries[f] for f in families])).alias("e"))
+        .where(F.col("e").isNotNull())
+        .select("pid", "start", "e.family", "e.feature")
         .distinct()
     )
-    return _to_courses(spine, labelled).select(*KEYS, "family", "feature", F.lit(1.0).alias("value"))
+    return _to_courses(spine, per_start).select(*KEYS, "family", "feature", F.lit(1.0).alias("value"))
 
 
 def systemic_agents(
@@ -341,17 +369,9 @@ def systemic_agents(
     dictionary: DataFrame,
     keyword: str = codes.AGENT_CLASS_KEYWORD,
     exclude: Iterable[str] = codes.EXCLUDED_INGREDIENTS,
-    states: DataFrame | None = None,
 ) -> DataFrame:
-    """Recent and concurrent systemic agents and all their classes, as separate families."""
-    classes = codes.drug_classes(dictionary)
-    agents = codes.cohort_ingredients(classes, orders, keyword, exclude)
-    agent_classes = keep_members(classes, agents, "ingredient")
-    held = states if states is not None else drug_states(spine, orders)
-    taken = held.where(F.col("state") != "current").join(agent_classes, "drug_name")
-    agent = _state_features(spine, taken, {"recent": "recagent", "concurrent": "conagent"}, "ingredient")
-    klass = _state_features(spine, taken, {"recent": "recclass", "concurrent": "conclass"}, "class")
-    return agent.unionByName(klass)
+    """Recent and concurrent systemic agents and all their classes."""
+    return drug_features(spine, orders, dictionary, keyword, exclude, AGENT_FAMILIES)
 
 
 def any_agent(
@@ -435,14 +455,9 @@ def _unknown_states(spine: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def medication_classes(
-    spine: DataFrame, orders: DataFrame, dictionary: DataFrame, states: DataFrame | None = None
-) -> DataFrame:
-    """Classes of all recent and of all current drugs; a drug not in the dictionary counts as ``NA``."""
-    classes = codes.drug_classes(dictionary).select("drug_name", "class").distinct()
-    held = states if states is not None else drug_states(spine, orders)
-    taken = held.where(F.col("state") != "concurrent").join(classes, "drug_name", "left")
-    return _state_features(spine, taken, {"recent": "recmed", "current": "curmed"}, "class")
+def medication_classes(spine: DataFrame, orders: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Classes of all recent and of all current drugs."""
+    return drug_features(spine, orders, dictionary, families=CLASS_FAMILIES)
 
 
 # --- diagnoses and history --------------------------------------------------------------------
@@ -486,15 +501,17 @@ def history_codes(
     separator: str = ", ",
     max_slots: int | None = CODE_SLOTS,
 ) -> DataFrame:
-    """``(pid, date, three_digit)`` from problem lists and from both diagnosis code sets."""
+    """``(pid, date, three_digit)``, first dates only, from problem lists and both diagnosis code sets."""
     listed = problems.select(
         "pid", F.coalesce("noted_date", "entered_date").alias("date"), "icd10_list"
     )
     problem = explode_codes(listed, "icd10_list", separator, "code", max_slots)
     coded = diagnoses.where(nonblank(F.col("code")))
     ten = coded.where(F.col("code_set") == "ICD-10-CM").select("pid", "date", "code")
-    nine = coded.where(F.col("code_set") == "ICD-9-CM").select(
-        "pid", "date", strip_dots(F.col("code")).alias("code")
+    nine = (
+        coded.where(F.col("code_set") == "ICD-9-CM")
+        .groupBy("pid", strip_dots(F.col("code")).alias("code"))
+        .agg(F.min("date").alias("date"))
     )
     mapped = codes.map_codes(
         nine, "code", crosswalk, "code9", "code10", last_nine=True, keep_unmatched=False
@@ -502,7 +519,8 @@ def history_codes(
     return (
         problem.unionByName(ten)
         .unionByName(mapped)
-        .select("pid", "date", F.substring("code", 1, 3).alias("three_digit"))
+        .groupBy("pid", F.substring("code", 1, 3).alias("three_digit"))
+        .agg(F.min("date").alias("date"))
     )
 
 
@@ -520,11 +538,11 @@ def past_history(
     if subchapters is not None:
         known = codes.label_subchapter(history, "three_digit", subchapters, unmatched=None)
         seen = first_seen(spine, known, ["sub_chapter"], "date")
-        parts.append(long_features(seen, KEYS, "pmhsub", "", "sub_chapter"))
+        parts.append(long_features(seen, KEYS, "pmhsub", "", "sub_chapter", unique=True))
     if terms is not None:
         known = codes.describe_codes(history, "three_digit", terms, unmatched=None)
         seen = first_seen(spine, known, ["description"], "date")
-        parts.append(long_features(seen, KEYS, "pmhdx", "", "description"))
+        parts.append(long_features(seen, KEYS, "pmhdx", "", "description", unique=True))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

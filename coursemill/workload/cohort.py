@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from coursemill.functions import with_flags
 from coursemill.functions.text import has_text
 from coursemill.operators import attach_surrogate, drop_members, remap_ids
-from coursemill.plans.cohort import assign_courses, course_cohort, course_spine, edge_charges, treatment_charges
+from coursemill.plans.cohort import (
+    assign_courses,
+    course_cohort,
+    course_spine,
+    edge_charges,
+    treatment_charges,
+    treatment_rows,
+)
 from coursemill.workload import roles
 from coursemill.workload.registry import query
 
@@ -169,5 +176,8 @@ SELECT pid, course, s AS start_day, e AS end_day, attending, {_AMOUNTS_SQL}, num
 FROM course1 JOIN usual USING (pid, course) WHERE tbi <> 1 AND brachy <> 1""",
 )
 def spine_query(spark: SparkSession, sf: str) -> DataFrame:
-    spine = course_spine(_cohort(spark, sf), _treated(spark, sf), list(roles.TECHNIQUE_RULES))
+    treatments = treatment_rows(roles.charges(spark, sf), roles.NON_TREATMENTS, roles.TECHNIQUE_RULES)
+    spine = course_spine(
+        _cohort(spark, sf), treatments, roles.people(spark, sf), roles.id_changes(spark, sf), roles.TECHNIQUE_RULES
+    )
     return _rounded(spine, _AMOUNTS).withColumnsRenamed({"start": "start_day", "end": "end_day"})

@@ -170,22 +170,17 @@ med_long AS (
   UNION ALL SELECT DISTINCT pid, course, 'curmed', 'cur_' || class FROM held WHERE taking)"""
 
 
-def _agents(spark: SparkSession, sf: str, states: DataFrame | None = None) -> DataFrame:
+@query("agent_windows", f"WITH {_MED_SQL} SELECT *, CAST(1 AS DOUBLE) AS value FROM med_long WHERE family IN ('recagent', 'conagent', 'recclass', 'conclass')")
+def agent_windows(spark: SparkSession, sf: str) -> DataFrame:
     return features.systemic_agents(
         roles.spine(spark, sf),
         roles.medications(spark, sf),
         roles.drug_dictionary(spark, sf),
         roles.AGENT_KEYWORD,
         roles.AGENT_EXCLUDED,
-        states,
     )
 
 
-@query("agent_windows", f"WITH {_MED_SQL} SELECT *, CAST(1 AS DOUBLE) AS value FROM med_long WHERE family IN ('recagent', 'conagent', 'recclass', 'conclass')")
-def agent_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return _agents(spark, sf)
-
-
 @query("med_windows", f"WITH {_MED_SQL} SELECT *, CAST(1 AS DOUBLE) AS value FROM med_long WHERE family IN ('recmed', 'curmed')")
 def med_windows(spark: SparkSession, sf: str) -> DataFrame:
     return features.medication_classes(
@@ -234,8 +229,8 @@ def _procedures(spark: SparkSession, sf: str) -> DataFrame:
         "pid", "d", F.when(F.col("p_type") == "SMALL", "").otherwise(F.col("p_type")).alias("category"), "p_name"
     )
     categories = features.prior_procedures(spine, rows, "category", "d")
-    codes = features.prior_procedures(spine, rows, "p_name", "d", "cpt", "cpt_")
-    return categories.unionByName(codes)
+    described = features.prior_procedures(spine, rows, "p_name", "d", "cpt", "cpt_")
+    return categories.unionByName(described)
 
 
 @query("prior_procs", f"WITH {_PROC_SQL} SELECT *, CAST(1 AS DOUBLE) AS value FROM proc_long")
@@ -356,12 +351,14 @@ def final_assembly(spark: SparkSession, sf: str) -> DataFrame:
 
 def feature_store(spark: SparkSession, sf: str) -> DataFrame:
     """All presence families of the order courses."""
-    states = features.drug_states(roles.spine(spark, sf), roles.medications(spark, sf))
     return assemble.long_store(
         [
-            _agents(spark, sf, states),
-            features.medication_classes(
-                roles.spine(spark, sf), roles.medications(spark, sf), roles.drug_dictionary(spark, sf), states
+            features.drug_features(
+                roles.spine(spark, sf),
+                roles.medications(spark, sf),
+                roles.drug_dictionary(spark, sf),
+                roles.AGENT_KEYWORD,
+                roles.AGENT_EXCLUDED,
             ),
             features.abnormal_labs(roles.spine(spark, sf), roles.labs(spark, sf)),
             _procedures(spark, sf),

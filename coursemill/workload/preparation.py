@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,7 +118,11 @@ def design_matrix(spark: SparkSession, sf: str) -> DataFrame:
     matrix, names, _ = prepare.design_matrix(
         courses, ["level"], ["o_orderpriority", "o_orderstatus"], _procedures(spark, sf)
     )
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1)
-    cells = matrix.select(F.posexplode(vector_to_array("features")).alias("position", "v")).where("v <> 0")
-    totals = cells.groupBy("position").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n_nonzero"))
-    return totals.select(label.alias("feature"), "total", "n_nonzero")
+    stats = matrix.select(Summarizer.metrics("sum", "numNonZeros").summary(F.col("features")).alias("s")).select(
+        F.arrays_zip(
+            F.array(*[F.lit(n) for n in names]).alias("feature"),
+            vector_to_array("s.sum").alias("total"),
+            vector_to_array("s.numNonZeros").alias("n_nonzero"),
+        ).alias("columns")
+    )
+    return stats.select(F.inline("columns")).select("feature", "total", F.col("n_nonzero").cast("long").alias("n_nonzero"))
