@@ -22,11 +22,14 @@ def cumulative_totals(
     order: Iterable[Column],
     totals: dict[str, str],
     bucket_desc: bool = False,
+    overall: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums: ``totals`` maps output names to summed columns.
 
-    ``bucket`` must be monotone in ``order`` (falling when ``bucket_desc``).
+    ``bucket`` must be monotone in ``order`` (falling when ``bucket_desc``). ``overall`` names the
+    group total of some of the ``totals``, which comes with the bucket totals at no extra pass.
     """
+    overall = overall or {}
     groups, order = list(groups), list(order)
     per_bucket = df.groupBy(*groups, bucket).agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()])
     b = F.col(bucket).desc() if bucket_desc else F.col(bucket)
@@ -35,6 +38,7 @@ def cumulative_totals(
         *groups,
         bucket,
         *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in totals],
+        *[F.sum(f"_sum_{n}").over(Window.partitionBy(*groups)).alias(name) for n, name in overall.items()],
     )
     within = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumns({f"_local_{n}": F.sum(c).over(within) for n, c in totals.items()})
@@ -49,22 +53,27 @@ def uniform_key(keys: Iterable[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def shuffled_rank(df: DataFrame, keys: Iterable[str], seed: int, alias: str, groups: Iterable[str] = ()) -> DataFrame:
-    """Rank 1..n (per group) in the repeatable random order of ``uniform_key``."""
+def shuffled_rank(
+    df: DataFrame,
+    keys: Iterable[str],
+    seed: int,
+    alias: str,
+    groups: Iterable[str] = (),
+    size: str | None = None,
+) -> DataFrame:
+    """Rank 1..n (per group) in the repeatable random order of ``uniform_key``; ``size`` names n."""
     placed = df.withColumns({"_u": uniform_key(keys, seed), "_one": F.lit(1)}).withColumn(
         "_b", F.substring("_u", 1, HASH_DIGITS)
     )
-    return cumulative_totals(placed, groups, "_b", [F.col("_u")], {alias: "_one"}).drop("_u", "_b", "_one")
+    overall = {alias: size} if size else {}
+    return cumulative_totals(placed, groups, "_b", [F.col("_u")], {alias: "_one"}, overall=overall).drop(
+        "_u", "_b", "_one"
+    )
 
 
 def hash_split(
     df: DataFrame, keys: Iterable[str], stratum: str, fraction: float = 0.75, seed: int = 220
 ) -> DataFrame:
     """Exact stratified split: adds ``is_train``, true for ceil(fraction * n) rows per stratum."""
-    ranked = shuffled_rank(df, keys, seed, "_rank", [stratum])
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        ranked.join(sizes, stratum)
-        .withColumn("is_train", F.col("_rank") <= F.ceil(F.col("_n") * F.lit(fraction)))
-        .drop("_rank", "_n")
-    )
+    ranked = shuffled_rank(df, keys, seed, "_rank", [stratum], size="_n")
+    return ranked.withColumn("is_train", F.col("_rank") <= F.ceil(F.col("_n") * F.lit(fraction))).drop("_rank", "_n")

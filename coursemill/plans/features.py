@@ -48,15 +48,6 @@ def _to_courses(spine: DataFrame, per_start: DataFrame) -> DataFrame:
     return spine.select(*KEYS, "start").join(per_start, ["pid", "start"]).drop("start")
 
 
-def _within_spine(spine: DataFrame, low: Column, high: Column) -> dict[str, Column]:
-    """Cut an interval to the days on which courses start at all; it loses no match."""
-    limits = spine.agg(F.struct(F.min("start").alias("first"), F.max("start").alias("last")).alias("l")).scalar()
-    return {
-        "_low": F.greatest(low, limits["first"]),
-        "_high": F.least(high, limits["last"]),
-    }
-
-
 # --- encounters -------------------------------------------------------------------------------
 
 
@@ -276,42 +267,69 @@ def abnormal_labs(
 # --- medications ------------------------------------------------------------------------------
 
 
-def drug_states(spine: DataFrame, orders: DataFrame, bucket_days: int = 64) -> DataFrame:
-    """Distinct (pid, start, drug_name, state) with state recent, concurrent or current.
+def _starts_within(spine: DataFrame, rows: DataFrame, bucket_days: int) -> DataFrame:
+    """Course starts of the same patient inside ``[low, high]``; a null end is open.
 
-    Recent: ended on or before the start and begun within 180 days of it. Concurrent: ends after
-    the start and begun from 30 days before to 14 days after it. Current: begun on or before the
-    start and ends after it. Each rule says that the course start lies in an interval given by the
-    order; orders without an end date satisfy none.
+    Ends are cut to the days on which courses start at all, which loses no match and bounds the
+    number of time buckets an interval can touch.
     """
+    limits = spine.agg(F.struct(F.min("start").alias("first"), F.max("start").alias("last")).alias("l")).scalar()
+    cut = rows.withColumns(
+        {"_low": F.greatest("low", limits["first"]), "_high": F.least("high", limits["last"])}
+    ).drop("low", "high")
+    return point_in_interval(_starts(spine), cut, ["pid"], "start", "_low", "_high", bucket_days).drop("_low", "_high")
+
+
+def _state_rules() -> dict[str, tuple[Column, Column, Column]]:
+    """State: (dates needed, first and last course start for which the order has it)."""
     begun, ended = F.col("start_date"), F.col("end_date")
-    states = {
-        "recent": (ended, F.date_add(begun, RECENT_DAYS)),
+    dated = begun.isNotNull() & ended.isNotNull()
+    return {
+        "recent": (dated, ended, F.date_add(begun, RECENT_DAYS)),
         "concurrent": (
+            dated,
             F.date_sub(begun, CONCURRENT_AFTER),
             F.least(F.date_sub(ended, 1), F.date_add(begun, CONCURRENT_BEFORE)),
         ),
-        "current": (begun, F.date_sub(ended, 1)),
+        "current": (dated, begun, F.date_sub(ended, 1)),
     }
-    dated = (
-        orders.where(begun.isNotNull() & ended.isNotNull())
-        .select("pid", "drug_name", "start_date", "end_date")
-        .distinct()
-    )
-    intervals = dated.select(
-        "pid",
-        "drug_name",
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(s).alias("state"), lo.alias("lo"), hi.alias("hi")) for s, (lo, hi) in states.items()]
-            )
-        ).alias("s"),
-    ).select("pid", "drug_name", "s.state", "s.lo", "s.hi")
-    cut = intervals.withColumns(_within_spine(spine, F.col("lo"), F.col("hi"))).drop("lo", "hi")
+
+
+def _unknown_rules() -> dict[str, tuple[Column, Column, Column]]:
+    """Course starts for which an order with a missing date leaves a state undecided."""
+    begun, ended, open_end = F.col("start_date"), F.col("end_date"), F.lit(None).cast("date")
+    no_end, no_begin = begun.isNotNull() & ended.isNull(), begun.isNull() & ended.isNotNull()
+    always = F.lit(True)
+    return {
+        "any": (always, open_end, open_end),
+        "concurrent?": (no_end, F.date_sub(begun, CONCURRENT_AFTER), F.date_add(begun, CONCURRENT_BEFORE)),
+        "concurrent??": (no_begin, open_end, F.date_sub(ended, 1)),
+        "recent?": (no_end, open_end, F.date_add(begun, RECENT_DAYS)),
+        "recent??": (no_begin, ended, open_end),
+        "neither": (begun.isNull() & ended.isNull(), open_end, open_end),
+    }
+
+
+def _order_intervals(orders: DataFrame, columns: list[str], rules: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    entries = [
+        F.when(needed, F.struct(F.lit(state).alias("state"), low.alias("low"), high.alias("high")))
+        for state, (needed, low, high) in rules.items()
+    ]
+    spread = orders.select(*columns, F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+    return spread.select(*columns, "e.state", "e.low", "e.high").distinct()
+
+
+def drug_states(spine: DataFrame, orders: DataFrame, bucket_days: int = 64) -> DataFrame:
+    """Distinct (pid, start, drug_name, state) with state recent, concurrent or current.
+
+    Recent: ended on or before the start and begun within 180 days of it. Concurrent: ends after
+    the start and begun from 30 days before to 14 days after it. Current: begun on or before the
+    start and ends after it. Each rule says that the course start lies in an interval given by the
+    order; orders without an end date satisfy none.
+    """
+    intervals = _order_intervals(orders, ["pid", "drug_name"], _state_rules())
     return (
-        point_in_interval(_starts(spine), cut, ["pid"], "start", "_low", "_high", bucket_days)
-        .select("pid", "start", "drug_name", "state")
-        .distinct()
+        _starts_within(spine, intervals, bucket_days).select("pid", "start", "drug_name", "state").distinct()
     )
 
 
@@ -380,6 +398,7 @@ def any_agent(
     dictionary: DataFrame,
     keyword: str = codes.AGENT_CLASS_KEYWORD,
     exclude: Iterable[str] = codes.EXCLUDED_INGREDIENTS,
+    bucket_days: int = 64,
 ) -> DataFrame:
     """Per course with any agent order: whether one is concurrent and whether one is recent.
 
@@ -389,70 +408,15 @@ def any_agent(
     agents = codes.cohort_ingredients(classes, orders, keyword, exclude)
     agent_drugs = keep_members(classes, agents, "ingredient").select("drug_name").distinct()
     mine = keep_members(orders, agent_drugs, "drug_name")
-    states = drug_states(spine, mine)
-    seen = states.groupBy("pid", "start").agg(
-        F.max(_flag(F.col("state") == "concurrent")).alias("concurrent"),
-        F.max(_flag(F.col("state") == "recent")).alias("recent"),
-    )
-    unknown = _unknown_states(spine, mine)
-    per_start = (
-        _starts(spine)
-        .join(mine.select("pid").distinct(), "pid", "left_semi")
-        .join(seen, ["pid", "start"], "left")
-        .join(unknown, ["pid", "start"], "left")
-        .select(
-            "pid",
-            "start",
-            *[
-                F.when(F.coalesce(f"unknown_{s}", F.lit(0)) == 0, F.coalesce(s, F.lit(0))).alias(s)
-                for s in ("concurrent", "recent")
-            ],
-        )
-    )
-    return _to_courses(spine, per_start)
-
+    rules = {k: v for k, v in _state_rules().items() if k != "current"} | _unknown_rules()
+    held = _starts_within(spine, _order_intervals(mine, ["pid"], rules), bucket_days)
 
-def _unknown_states(spine: DataFrame, orders: DataFrame) -> DataFrame:
-    """Starts for which some order with a missing date has an undecided state.
+    def decided(state: str) -> Column:
+        unknown = F.max(F.col("state").isin(f"{state}?", f"{state}??", "neither"))
+        return F.when(~unknown, F.max(_flag(F.col("state") == state))).alias(state)
 
-    Without an end date a state is undecided unless the begin date rules it out; without a begin date
-    unless the end date does. First and last dates per day window decide that, so the orders are
-    reduced to one row per (pid, begin) or (pid, end).
-    """
-    no_end = orders.where(F.col("end_date").isNull() & F.col("start_date").isNotNull())
-    no_begin = orders.where(F.col("start_date").isNull() & F.col("end_date").isNotNull())
-    neither = orders.where(F.col("start_date").isNull() & F.col("end_date").isNull()).select("pid").distinct()
-    begins = by_day(no_end, ["pid"], "start_date", n=F.count(F.lit(1)))
-    ends = by_day(no_begin, ["pid"], "end_date", n=F.count(F.lit(1)))
-    open_begin = timeline_profile(
-        spine,
-        begins,
-        ["pid"],
-        "start",
-        [
-            Measure("in_180", "sum", "n", RECENT_DAYS),
-            Measure("later", "max", "n", after=True),
-            Measure("near", "sum", "n", CONCURRENT_BEFORE, -CONCURRENT_AFTER),
-        ],
-    )
-    open_end = timeline_profile(
-        spine,
-        ends,
-        ["pid"],
-        "start",
-        [Measure("ended", "sum", "n"), Measure("running", "max", "n", after=True)],
-    )
-    some = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
-    return (
-        open_begin.join(open_end, ["pid", "start"])
-        .join(neither.withColumn("_neither", F.lit(1)), "pid", "left")
-        .select(
-            "pid",
-            "start",
-            _flag(some("near") | some("running") | some("_neither")).alias("unknown_concurrent"),
-            _flag(some("in_180") | some("later") | some("ended") | some("_neither")).alias("unknown_recent"),
-        )
-    )
+    per_start = held.groupBy("pid", "start").agg(decided("concurrent"), decided("recent"))
+    return _to_courses(spine, per_start)
 
 
 def medication_classes(spine: DataFrame, orders: DataFrame, dictionary: DataFrame) -> DataFrame:
