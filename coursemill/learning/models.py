@@ -6,6 +6,7 @@ label 1.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections.abc import Iterable, Sequence
@@ -204,9 +205,8 @@ def fourier_features(df: DataFrame, width: int, dimensions: int, gamma: float |
     draw = random.Random(seed)
     weights = [[draw.gauss(0.0, math.sqrt(2 * gamma)) for _ in range(width)] for _ in range(dimensions)]
     shifts = [draw.uniform(0.0, 2 * math.pi) for _ in range(dimensions)]
-    plane = F.array(
-        *[F.struct(F.array(*[F.lit(v) for v in w]).alias("w"), F.lit(b).alias("b")) for w, b in zip(weights, shifts)]
-    )
+    rows = json.dumps([{"w": w, "b": b} for w, b in zip(weights, shifts)])
+    plane = F.from_json(F.lit(rows), "array<struct<w: array<double>, b: double>>")  # folded to a constant
 
     def project(p: Column) -> Column:
         products = F.zip_with("_x", p["w"], lambda x, w: x * w)

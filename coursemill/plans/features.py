@@ -439,22 +439,40 @@ def course_diagnoses(
     on: str = "mrn",
     bucket_days: int = 64,
 ) -> DataFrame:
-    """Diagnosis and sub-chapter indicators from the code lists of a course's charges."""
-    listed = charges.select(on, "pid", "service_date", "diagnosis_list").distinct()
-    ranges = cohort.select(on, "course", "start", "end").distinct()
-    charged = (
-        point_in_interval(listed, ranges, [on], "service_date", "start", "end", bucket_days)
-        .select(*KEYS, "diagnosis_list")
+    """Diagnosis and sub-chapter indicators from the code lists of a course's charges.
+
+    Everything up to the names works on distinct (day, code) and on distinct date ranges of a patient,
+    both bounded by calendar and vocabulary; only finished names are spread over the courses.
+    """
+    slots = explode_codes(
+        charges.select(on, "pid", "service_date", "diagnosis_list"), "diagnosis_list", separator, "code", max_slots
+    )
+    per_day = slots.withColumn("code", strip_dots(F.col("code"))).distinct()
+    ranges = cohort.select(on, "start", "end").distinct()
+    per_range = (
+        point_in_interval(per_day, ranges, [on], "service_date", "start", "end", bucket_days)
+        .select(on, "pid", "start", "end", "code")
         .distinct()
     )
-    coded = explode_codes(charged, "diagnosis_list", separator, "code", max_slots)
-    plain = coded.select(*KEYS, strip_dots(F.col("code")).alias("code")).distinct()
-    mapped = codes.map_codes(plain, "code", crosswalk, "code9", "code10")
-    rolled = mapped.select(*KEYS, "code_mapped", codes.roll_up(F.col("code_mapped")).alias("category"))
+    mapped = codes.map_codes(per_range, "code", crosswalk, "code9", "code10")
+    rolled = mapped.withColumn("category", codes.roll_up(F.col("code_mapped")))
     described = codes.describe_codes(rolled, "category", terms, short_terms)
-    chaptered = codes.label_subchapter(rolled, "code_mapped", subchapters)
-    return long_features(described, KEYS, "coursedx", "coursedx_", "description").unionByName(
-        long_features(chaptered, KEYS, "coursesub", "coursesub_", "sub_chapter")
+    named = codes.label_subchapter(described, "code_mapped", subchapters)
+    features = F.array(
+        *[
+            F.struct(F.lit(family).alias("family"), F.concat(F.lit(f"{family}_"), F.col(c)).alias("feature"))
+            for family, c in (("coursedx", "description"), ("coursesub", "sub_chapter"))
+        ]
+    )
+    keys = [on, "start", "end"]
+    per_range_names = named.select(*keys, "pid", F.inline(features)).distinct()
+    courses = cohort.select(*keys, "course").distinct()
+    # A course can have several ranges (merged ids), hence the last distinct.
+    return (
+        courses.join(per_range_names, keys)
+        .select(*KEYS, "family", "feature")
+        .distinct()
+        .withColumn("value", F.lit(1.0))
     )
 
 

@@ -349,6 +349,23 @@ def final_assembly(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "STANDARD")
+
+
+@query(
+    "wide_export",
+    f"""WITH {_FINAL_SQL}, {_PROC_SQL.split(roles.SPINE + ",", 1)[1]},
+flags AS (SELECT pid, course, {", ".join(f"max(CASE WHEN feature = 'proc_{t}' THEN 1 ELSE 0 END) AS proc_{t}" for t in _TYPES)}
+          FROM proc_long WHERE family = 'proc' GROUP BY pid, course)
+SELECT pid, course, adm_ed, lasted, numyearadmit, {", ".join(f"coalesce(proc_{t}, 0) AS proc_{t}" for t in _TYPES)}
+FROM final LEFT JOIN flags USING (pid, course)""",
+)
+def wide_export(spark: SparkSession, sf: str) -> DataFrame:
+    courses = final_courses(spark, sf).select("pid", "course", "adm_ed", "lasted", "numyearadmit")
+    store = _procedures(spark, sf).where(F.col("family") == "proc")
+    return assemble.wide_table(courses, assemble.eligible_features(store, courses), [f"proc_{t}" for t in _TYPES])
+
+
 def feature_store(spark: SparkSession, sf: str) -> DataFrame:
     """All presence families of the order courses."""
     return assemble.long_store(

@@ -97,7 +97,7 @@ def test_lasso_takes_the_largest_penalty_within_one_error(spark, matrix):
 def test_fourier_features_approximate_the_kernel(spark):
     points = [[0.1, 0.4], [0.5, -0.2], [1.0, 1.0]]
     df = spark.createDataFrame([(i, Vectors.dense(p)) for i, p in enumerate(points)], ["i", "features"])
-    lifted = [r.fourier.toArray() for r in models.fourier_features(df, 2, 1500, gamma=0.7).orderBy("i").collect()]
+    lifted = [r.fourier.toArray() for r in models.fourier_features(df, 2, 1000, gamma=0.7).orderBy("i").collect()]
     for a in range(3):
         for b in range(3):
             exact = math.exp(-0.7 * sum((x - y) ** 2 for x, y in zip(points[a], points[b])))
