@@ -59,14 +59,16 @@ def design_matrix(
     keys: Iterable[str] = KEYS,
     label: str = "adm_ed",
     out: str = "features",
-    fit_on: DataFrame | None = None,
+    fit_where: Column | None = None,
+    carry: Iterable[str] = (),
 ):
     """Sparse model matrix: numeric columns, dummy-coded categories, stored presence features.
 
     No intercept: the first category keeps all its levels, later ones lose their alphabetically
     first. Presence features of a course become one sparse vector; its length is bounded by the
-    number of distinct features, never by the number of rows. Returns (matrix, names, model) with
-    ``names`` in vector order.
+    number of distinct features, never by the number of rows. ``fit_where`` restricts the rows that
+    encoders learn their levels from, ``carry`` names columns to keep beside the matrix. Returns
+    (matrix, names, model) with ``names`` in vector order.
     """
     keys, numeric, categorical = list(keys), list(numeric), list(categorical)
     rows = courses
@@ -76,7 +78,7 @@ def design_matrix(
     for position, c in enumerate(categorical):
         indexer = StringIndexer(
             inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep", stringOrderType="alphabetDesc"
-        ).fit(courses if fit_on is None else courses.join(fit_on, keys, "left_semi"))
+        ).fit(courses if fit_where is None else courses.where(fit_where))
         fitted.append(indexer)
         # Descending order leaves the alphabetically first level last; the unseen slot behind it is
         # dropped by the encoder.
@@ -95,12 +97,10 @@ def design_matrix(
         stages.append(CountVectorizer(inputCol="_present", outputCol="_flags", binary=True))
         inputs.append("_flags")
     stages.append(VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep"))
-    model = Pipeline(stages=[*fitted, *stages]).fit(
-        rows if fit_on is None else rows.join(fit_on, keys, "left_semi")
-    )
+    model = Pipeline(stages=[*fitted, *stages]).fit(rows if fit_where is None else rows.where(fit_where))
     if store is not None:
         names += model.stages[-2].vocabulary
-    matrix = model.transform(rows).select(*keys, F.col(label).cast("double").alias("label"), out)
+    matrix = model.transform(rows).select(*keys, *carry, F.col(label).cast("double").alias("label"), out)
     return matrix, names, model
 
 

@@ -1,4 +1,4 @@
-"""Learner queries on the order courses. Their results depend on seeded learners: no SQL twin.
+"""Learner queries on the order courses. Fitted models depend on seeded learners: no SQL twin.
 
 Settings are scaled down (rounds, trees, grid) so that every learner runs in the benchmark; the
 library defaults are the tuned ones.
@@ -6,11 +6,17 @@ library defaults are the tuned ones.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursemill.learning import evaluate, models, prepare
+from coursemill.operators import hash_split, keep_members
+from coursemill.plans.cohort import KEYS
 from coursemill.session import materialise
+from coursemill.workload import roles
 from coursemill.workload.families import _procedures, final_courses
 from coursemill.workload.registry import query
 
@@ -20,31 +26,47 @@ _NUMERIC = (
 )
 _TREES, _ROUNDS, _DEPTH = 20, 10, 4
 
-# One materialised matrix per (session, data) serves all learner queries.
-_MATRICES: dict[tuple[str, str], tuple[DataFrame, DataFrame, list[str]]] = {}
+@dataclass(frozen=True)
+class Data:
+    courses: DataFrame  # scalars, outcome, is_train
+    store: DataFrame  # presence features that vary enough among training rows
+    train: DataFrame
+    test: DataFrame
+    names: list[str]
 
 
-def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(train, test, feature names); the variance filter and the encoders see training rows only."""
+# Written once per (session, data), shared by all learner queries.
+_DATA: dict[tuple[str, str], Data] = {}
+
+
+def _matrix(courses: DataFrame, store: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(train, test, names); encoders see training rows only."""
+    matrix, names, _ = prepare.design_matrix(
+        courses, _NUMERIC, ["race"], store, fit_where=F.col("is_train"), carry=["is_train"]
+    )
+    matrix = materialise(matrix, name)
+    return matrix.where("is_train").drop("is_train"), matrix.where(~F.col("is_train")).drop("is_train"), names
+
+
+def _data(spark: SparkSession, sf: str) -> Data:
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _MATRICES:
-        courses = materialise(final_courses(spark, sf), "courses")
-        train_keys = prepare.train_test_split(courses.select("pid", "course", "adm_ed"), ["pid", "course"], "adm_ed")[0]
-        train_keys = materialise(train_keys.select("pid", "course"), "train")
-        store = materialise(_procedures(spark, sf), "store")
-        in_training = store.join(train_keys, ["pid", "course"], "left_semi")
-        profile = prepare.near_zero_variance(in_training, train_keys.count())
-        kept = prepare.drop_near_constant(store, profile)
+    if key not in _DATA:
         # "Never" is a huge stand-in; on the log scale it does not swamp linear models.
-        logged = courses.withColumns({c: F.log1p(c) for c in ("lastadmit", "lasted", "daysyearadmit")})
-        matrix, names, _ = prepare.design_matrix(
-            prepare.model_columns(logged), _NUMERIC, ["race"], kept, fit_on=train_keys
+        logged = prepare.model_columns(final_courses(spark, sf)).withColumns(
+            {c: F.log1p(c) for c in ("lastadmit", "lasted", "daysyearadmit")}
         )
-        matrix = materialise(matrix, "matrix")
-        train = matrix.join(train_keys, ["pid", "course"], "left_semi")
-        test = matrix.join(train_keys, ["pid", "course"], "left_anti")
-        _MATRICES[key] = (materialise(train, "train_matrix"), materialise(test, "test_matrix"), names)
-    return _MATRICES[key]
+        courses = materialise(hash_split(logged, KEYS, "adm_ed"), "courses")
+        in_training = courses.where("is_train").select(*KEYS)
+        store = materialise(_procedures(spark, sf), "store")
+        profile = prepare.near_zero_variance(keep_members(store, in_training, list(KEYS)), in_training.count())
+        kept = materialise(prepare.drop_near_constant(store, profile), "kept")
+        _DATA[key] = Data(courses, kept, *_matrix(courses, kept, "matrix"))
+    return _DATA[key]
+
+
+def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    data = _data(spark, sf)
+    return data.train, data.test, data.names
 
 
 def _boosted(**params):
@@ -138,13 +160,41 @@ def importance_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("subset_model")
 def subset_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Control model on one feature family only, evaluated on the same test rows."""
-    train, test, names = _split(spark, sf)
-    from pyspark.ml.feature import VectorSlicer
+    """Control model that sees one feature family only, evaluated on the same test rows."""
+    data = _data(spark, sf)
+    train, test, _ = _matrix(data.courses, prepare.of_families(data.store, ("proc",)), "subset")
+    return evaluate.auc_interval(models.score(_boosted().fit(train), test))
+
+
+@query(
+    "fold_assign",
+    """SELECT o_orderkey, CAST(('0x' || substr(md5('220|' || CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM orders""",
+)
+def fold_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return models.with_folds(roles.table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
 
-    slicer = VectorSlicer(
-        inputCol="features", outputCol="_kept", indices=[i for i, n in enumerate(names) if n.startswith("proc_")]
+
+_PENALTY_COLUMNS = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
+
+
+@query(
+    "penalty_path",
+    """WITH rows AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem),
+share AS (SELECT avg(y) AS p FROM rows),
+gaps AS ("""
+    + " UNION ALL ".join(
+        f"SELECT abs(avg({c}) FILTER (WHERE y = 1) - avg({c}) FILTER (WHERE y = 0)) / stddev_samp({c}) AS g FROM rows"
+        for c in _PENALTY_COLUMNS
+    )
+    + """),
+top AS (SELECT p * (1 - p) * (SELECT max(g) FROM gaps) AS largest FROM share)
+SELECT CAST(i AS INTEGER) AS step, round(largest * power(0.01, i / 4.0) * 1000000, 4) AS scaled_penalty FROM top, range(5) r(i)""",
+)
+def penalty_path(spark: SparkSession, sf: str) -> DataFrame:
+    rows = roles.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label"), *_PENALTY_COLUMNS
     )
-    only = lambda df: slicer.transform(df).select("pid", "course", "label", F.col("_kept").alias("features"))
-    model = _boosted().fit(only(train))
-    return evaluate.auc_interval(models.score(model, only(test)))
+    matrix = VectorAssembler(inputCols=list(_PENALTY_COLUMNS), outputCol="features").transform(rows)
+    path = models.penalty_path(matrix, steps=5, ratio=0.01)
+    table = spark.createDataFrame(list(enumerate(path)), "step int, penalty double")
+    return table.select("step", F.round(F.col("penalty") * 1000000, 4).alias("scaled_penalty"))
