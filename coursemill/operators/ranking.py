@@ -28,6 +28,7 @@ def cumulative_totals(
 
     ``bucket`` must be monotone in ``order`` (falling when ``bucket_desc``). ``overall`` names the
     group total of some of the ``totals``, which comes with the bucket totals at no extra pass.
+    ``df`` is read twice, so a costly one should be written first (``session.materialise``).
     """
     overall = overall or {}
     groups, order = list(groups), list(order)

@@ -31,14 +31,18 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     return builder.getOrCreate()
 
 
+_FALLBACKS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared scratch folder; a temporary one only where none is configured (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    fallback = tempfile.mkdtemp(prefix="coursemill-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    application = spark.sparkContext.applicationId
+    if application not in _FALLBACKS:
+        _FALLBACKS[application] = tempfile.mkdtemp(prefix="coursemill-")
+    return _FALLBACKS[application]
 
 
 def checkpoint_ready(spark: SparkSession) -> None:

@@ -55,7 +55,7 @@ def _data(spark: SparkSession, sf: str) -> Data:
         logged = prepare.model_columns(final_courses(spark, sf)).withColumns(
             {c: F.log1p(c) for c in ("lastadmit", "lasted", "daysyearadmit")}
         )
-        courses = materialise(hash_split(logged, KEYS, "adm_ed"), "courses")
+        courses = materialise(hash_split(materialise(logged, "final"), KEYS, "adm_ed"), "courses")
         in_training = courses.where("is_train").select(*KEYS)
         store = materialise(_procedures(spark, sf), "store")
         profile = prepare.near_zero_variance(keep_members(store, in_training, list(KEYS)), in_training.count())
