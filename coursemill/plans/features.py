@@ -441,20 +441,15 @@ def course_diagnoses(
 ) -> DataFrame:
     """Diagnosis and sub-chapter indicators from the code lists of a course's charges.
 
-    Everything up to the names works on distinct (day, code) and on distinct date ranges of a patient,
-    both bounded by calendar and vocabulary; only finished names are spread over the courses.
+    Codes become names per distinct (day, code), names meet distinct date ranges of the patient, and
+    only the names found in a range are spread over its courses: each step is bounded by calendar and
+    vocabulary, however many charges or courses a patient has.
     """
     slots = explode_codes(
         charges.select(on, "pid", "service_date", "diagnosis_list"), "diagnosis_list", separator, "code", max_slots
     )
     per_day = slots.withColumn("code", strip_dots(F.col("code"))).distinct()
-    ranges = cohort.select(on, "start", "end").distinct()
-    per_range = (
-        point_in_interval(per_day, ranges, [on], "service_date", "start", "end", bucket_days)
-        .select(on, "pid", "start", "end", "code")
-        .distinct()
-    )
-    mapped = codes.map_codes(per_range, "code", crosswalk, "code9", "code10")
+    mapped = codes.map_codes(per_day, "code", crosswalk, "code9", "code10")
     rolled = mapped.withColumn("category", codes.roll_up(F.col("code_mapped")))
     described = codes.describe_codes(rolled, "category", terms, short_terms)
     named = codes.label_subchapter(described, "code_mapped", subchapters)
@@ -464,12 +459,20 @@ def course_diagnoses(
             for family, c in (("coursedx", "description"), ("coursesub", "sub_chapter"))
         ]
     )
+    per_day_names = named.select(on, "pid", "service_date", F.inline(features)).distinct()
     keys = [on, "start", "end"]
-    per_range_names = named.select(*keys, "pid", F.inline(features)).distinct()
-    courses = cohort.select(*keys, "course").distinct()
+    per_range = (
+        point_in_interval(
+            per_day_names, cohort.select(*keys).distinct(), [on], "service_date", "start", "end", bucket_days
+        )
+        .select(*keys, "pid", "family", "feature")
+        .distinct()
+    )
     # A course can have several ranges (merged ids), hence the last distinct.
     return (
-        courses.join(per_range_names, keys)
+        cohort.select(*keys, "course")
+        .distinct()
+        .join(per_range, keys)
         .select(*KEYS, "family", "feature")
         .distinct()
         .withColumn("value", F.lit(1.0))
