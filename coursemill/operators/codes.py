@@ -158,6 +158,13 @@ def canonical_names(
     )
 
 
+def first_test_names(df: DataFrame, test: str, base: str, order: str, alias: str = "first_test") -> DataFrame:
+    """Add the test name each base name was first listed with; an unlisted base name stays itself."""
+    both = df.where(nonblank(F.col(base)) & nonblank(F.col(test)))
+    test_of_base = first_by_order(both, base, test, order, "_test")
+    return map_values(df.withColumn(alias, F.col(base)), alias, test_of_base, base, "_test")
+
+
 def drug_classes(dictionary: DataFrame) -> DataFrame:
     """Distinct ``(drug_name, ingredient, class)`` with blanks labelled ``other``."""
     named = {c: F.when(F.col(c) == "", F.lit("other")).otherwise(F.col(c)) for c in ("ingredient", "class")}

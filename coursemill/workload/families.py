@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coursemill.functions import null_profile
 from coursemill.operators import lookback_join, pivot_indicators
+from coursemill.operators.codes import canonical_names, cohort_ingredients, drug_classes, first_test_names
 from coursemill.plans import assemble, features
 from coursemill.workload import roles
 from coursemill.workload.registry import query
@@ -133,12 +134,23 @@ named AS (SELECT renamed.*, coalesce(conv2, up) AS canonical FROM renamed LEFT J
     f"WITH {_LAB_SQL} SELECT test_name, test_description, canonical, count(*) AS n_rows FROM named GROUP BY ALL",
 )
 def lab_names(spark: SparkSession, sf: str) -> DataFrame:
-    from coursemill.operators.codes import canonical_names
-
     named = canonical_names(roles.labs(spark, sf), "test_name", "base_name", "test_description", "source_order")
     return named.groupBy("test_name", "test_description", "canonical").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query(
+    "lab_first_tests",
+    f"""WITH {_LAB_SQL},
+test_of_base AS (
+  SELECT base_name, first(test_name ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS t FROM lab
+  WHERE base_name <> '' AND test_name <> '' GROUP BY 1)
+SELECT base_name, coalesce(t, base_name) AS first_test, count(*) AS n_rows FROM lab LEFT JOIN test_of_base USING (base_name) GROUP BY ALL""",
+)
+def lab_first_tests(spark: SparkSession, sf: str) -> DataFrame:
+    named = first_test_names(roles.labs(spark, sf), "test_name", "base_name", "source_order")
+    return named.groupBy("base_name", "first_test").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(
     "abnormal_labs",
     f"""WITH {_LAB_SQL}
@@ -209,8 +221,6 @@ def any_agent(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cohort_drugs", f"WITH {_MED_SQL} SELECT ingredient FROM agents")
 def cohort_drugs(spark: SparkSession, sf: str) -> DataFrame:
-    from coursemill.operators.codes import cohort_ingredients, drug_classes
-
     classes = drug_classes(roles.drug_dictionary(spark, sf))
     return cohort_ingredients(classes, roles.medications(spark, sf), roles.AGENT_KEYWORD, roles.AGENT_EXCLUDED)
 
@@ -269,6 +279,30 @@ def social_latest(spark: SparkSession, sf: str) -> DataFrame:
     return features.social_history(roles.spine(spark, sf), roles.social(spark, sf), latest_only=True)
 
 
+@query(
+    "demographics",
+    """SELECT DISTINCT c_custkey AS pid, c_name AS mrn, DATE '1985-06-30' - CAST(floor(c_acctbal) AS INTEGER) AS dob, c_mktsegment AS race,
+       n_name AS ethnic_group, CASE WHEN c_acctbal < 0 THEN 'owing' END AS marital_status, r_name AS religion
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+)
+def demographics(spark: SparkSession, sf: str) -> DataFrame:
+    places = roles.table(spark, sf, "nation").join(
+        roles.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    customers = roles.table(spark, sf, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    return features.demographics(
+        customers.select(
+            F.col("c_custkey").alias("pid"),
+            F.col("c_name").alias("mrn"),
+            F.date_sub(F.lit("1985-06-30").cast("date"), F.floor("c_acctbal").cast("int")).alias("dob"),
+            F.col("c_mktsegment").alias("race"),
+            F.col("n_name").alias("ethnic_group"),
+            F.when(F.col("c_acctbal") < 0, "owing").alias("marital_status"),
+            F.col("r_name").alias("religion"),
+        )
+    )
+
+
 @query("area_zip5", "SELECT c_custkey AS pid, substr(c_mktsegment || '-' || c_name, 1, 5) AS zip FROM customer")
 def area_zip5(spark: SparkSession, sf: str) -> DataFrame:
     return features.zip_areas(_addresses(spark, sf))

@@ -187,6 +187,13 @@ def test_canonical_lab_names(spark):
     assert got == {1: "NA", 2: "NA", 3: "K", 4: "K", 6: "Loose", 8: "NA"}
 
 
+def test_first_test_names(spark):
+    data = [("Sodium", "NA", 2), ("Natrium", "NA", 1), ("", "Z", 0), ("K", "", 3), ("x", None, 4)]
+    df = spark.createDataFrame(data, "test string, base string, o int")
+    got = {r.o: r.first_test for r in codes.first_test_names(df, "test", "base", "o").collect()}
+    assert got == {2: "Natrium", 1: "Natrium", 0: "Z", 3: "", 4: None}
+
+
 def test_cohort_ingredients(spark):
     rx = spark.createDataFrame(
         [("d1", "cis", "Antineoplastic Agents"), ("d1", "cis", "X"), ("d2", "Sulindac", "Antineoplastic"), ("d3", "late", "Antineoplastic"), ("d4", "", "")],
