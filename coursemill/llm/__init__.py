@@ -1,6 +1,6 @@
 """Operators for large training-data pipelines, each with its query and, where SQL can say it, its twin."""
 
-from coursemill.llm import op10  # noqa: F401
+from coursemill.llm import op03, op05, op06, op08, op09, op10  # noqa: F401
 from coursemill.llm.registered import QUERIES, TWINS
 
 
