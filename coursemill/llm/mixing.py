@@ -115,14 +115,14 @@ def mix(
     epochs: int = 2,
     seed: int = 11,
 ) -> DataFrame:
-    """The chosen rows of ``docs`` with the leaf columns, ``_tokens`` and ``_copies``.
+    """The chosen rows of ``docs``: ``document`` (a struct of its columns), the levels, ``tokens`` and ``copies``.
 
-    ``levels`` maps names of tree levels, from the root down, to columns over ``docs``; these names
-    must not be among its columns. A null level value is a node of its own, named ''. A document
+    ``levels`` maps names of tree levels, from the root down, to columns over ``docs``; ``weights`` are
+    columns over levels. A null level value is a node of its own, named ''. A document
     belongs to the last, partial epoch if it starts inside the leaf's budget, so a leaf overshoots
     by less than its last document. Documents without tokens come with whole epochs only. Rows of
-    equal doc_id (null counts as '') share a key and enter together. All columns of ``docs`` stay.
-    Empty in, empty out. Keys and token counts are written to the shared folder: the texts are read
+    equal doc_id (null counts as '') share a key and enter together. Whatever columns ``docs`` has
+    beside doc_id and text cannot clash with those added. Empty in, empty out. Keys and token counts are written to the shared folder: the texts are read
     once for them and once for the result, and never shuffled while the leaf table is small enough
     for Spark to broadcast it by its measured size.
     """
@@ -143,13 +143,16 @@ def mix(
         "mix-plan",
     )
     cutoffs = materialise(leaf_cutoffs(keys, plan, names, seed), "mix-cutoffs")
-    tokens = F.col("_tokens")
-    partial = (epoch_key(seed, F.col("_whole"), ident) < F.col("_cutoff")) & (tokens > 0)
+    partial = (epoch_key(seed, F.col("_whole"), F.col("_id")) < F.col("_cutoff")) & (F.col("tokens") > 0)
+    held = docs.select(
+        F.struct("*").alias("document"),
+        *[c.alias(n) for n, c in leaf.items()],
+        token_count(F.col("text")).alias("tokens"),
+        ident.alias("_id"),
+    )
     return (
-        docs.withColumns(leaf)
-        .join(cutoffs, names)
-        .withColumn("_tokens", token_count(F.col("text")))
-        .withColumn("_copies", F.col("_whole") + partial.cast("long"))
-        .where("_copies > 0")
-        .drop("_whole", "_cutoff")
+        held.join(cutoffs, names)
+        .withColumn("copies", F.col("_whole") + partial.cast("long"))
+        .where("copies > 0")
+        .select("document", *names, "tokens", "copies")
     )

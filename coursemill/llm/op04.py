@@ -10,8 +10,9 @@ LEAST_COSINE = 0.93
 SQL = f"""
 WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-    WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    WHERE label IS NOT NULL AND len(embedding) = list_count(embedding)
+      AND list_max(embedding) < 'infinity'::FLOAT AND list_min(embedding) > '-infinity'::FLOAT
+      AND (list_max(embedding) > 0 OR list_min(embedding) < 0)),
 link AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b USING (label)
     WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {LEAST_COSINE}),

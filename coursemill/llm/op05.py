@@ -83,6 +83,4 @@ FROM s WHERE whole + CASE WHEN start < rest AND tokens > 0 THEN 1 ELSE 0 END > 0
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     chosen = mix(docs, tree(), target_weights(), SHARE, EPOCHS, SEED)
-    return chosen.select(
-        "doc_id", "domain", "mix_lang", "mix_source", F.col("_tokens").alias("tokens"), F.col("_copies").alias("copies")
-    )
+    return chosen.select("document.doc_id", "domain", "mix_lang", "mix_source", "tokens", "copies")

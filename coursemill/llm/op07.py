@@ -10,10 +10,4 @@ from coursemill.llm.repeats import without_repeats
 @query("op7_suffix_array_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return without_repeats(docs).select(
-        "doc_id",
-        F.col("_n_bytes").alias("n_bytes"),
-        F.col("_n_removed").alias("n_removed"),
-        F.col("_n_spans").alias("n_spans"),
-        F.sha2("_kept", 256).alias("kept_sha256"),
-    )
+    return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

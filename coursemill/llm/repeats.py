@@ -287,7 +287,9 @@ def _cut(chunk: Chunk, spans: pa.Table) -> tuple[list[bytes], np.ndarray, np.nda
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = MINIMIZER, memory: int = SHARD_MEMORY) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, ...) plus _kept (binary), _n_bytes, _n_removed and _n_spans.
+    """doc_id, text, ``rest`` (a struct of all other columns), kept (binary), n_bytes, n_removed and n_spans.
+
+    ``text`` is what is kept, without the characters that a removal cut into; ``kept`` has all kept bytes.
 
     A byte goes if a ``length``-byte string over it also starts in a document with a smaller doc_id;
     strings are judged on the input. Null texts are empty. Rows without doc_id lose nothing and cause no
@@ -295,7 +297,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = MINIMIZER, m
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets, shards = (max(1, ceil(size / b)) for b in (CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES))
-    held = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce("text", F.lit(""))})
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    held = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"),
+    )
     held = held.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_chunk", F.pmod("_row", F.lit(chunks)))
     grouped = held.groupBy("_chunk")
 
@@ -370,23 +377,23 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = MINIMIZER, m
     def spans(table: pa.Table) -> pa.Table:
         return _shard_spans(table, length, memory)
 
-    kept_schema = T.StructType(
-        [*held.schema.fields, *[T.StructField(n, t) for n, t in (("_kept", T.BinaryType()), ("_n_bytes", T.LongType()), ("_n_removed", T.LongType()), ("_n_spans", T.LongType()))]]
-    )
+    added = [("kept", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType())]
+    kept_schema = T.StructType([*held.schema.fields, *[T.StructField(n, t) for n, t in added]])
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
-            empty = {"_kept": pa.binary(), "_n_bytes": pa.int64(), "_n_removed": pa.int64(), "_n_spans": pa.int64()}
-            for name, kind in empty.items():
+            for name, kind in zip(("kept", "n_bytes", "n_removed", "n_spans"), (pa.binary(), pa.int64(), pa.int64(), pa.int64())):
                 table = table.append_column(name, pa.array([], kind))
             return table
         chunk = Chunk(table)
         kept, removed, count = _cut(chunk, found)
+        texts = pa.array([k.decode("utf-8", "ignore") for k in kept], table.schema.field("text").type)
         return (
-            table.append_column("_kept", pa.array(kept, pa.binary()))
-            .append_column("_n_bytes", pa.array(np.diff(chunk.offsets)))
-            .append_column("_n_removed", pa.array(removed))
-            .append_column("_n_spans", pa.array(count))
+            table.set_column(table.schema.get_field_index("text"), "text", texts)
+            .append_column("kept", pa.array(kept, pa.binary()))
+            .append_column("n_bytes", pa.array(np.diff(chunk.offsets)))
+            .append_column("n_removed", pa.array(removed))
+            .append_column("n_spans", pa.array(count))
         )
 
     hashes = grouped.applyInArrow(minimizers, "bucket long, chunk long, hashes binary")

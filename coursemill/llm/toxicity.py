@@ -15,12 +15,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursemill.session import materialise
@@ -203,25 +203,23 @@ def _descend(texts: pd.DataFrame, pairs: pd.DataFrame, names: list[str], penalty
     return Model(float(bias), {f: float(x) for f, x in zip(names, w) if x})
 
 
-def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """All columns of ``docs`` plus ``name``, the score of the whole text (null: empty)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function from a text column to its scores; null texts score as empty ones."""
+    shared = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own, memory = shared.value, {}
         for texts in batches:
-            out = np.empty(len(texts))
+            out = np.full(len(texts), own.bias)
             for i, text in enumerate(texts):
-                z = own.bias
                 for word in set(WORDS.findall(text.lower())) if text else ():
                     weight = memory.get(word)
                     if weight is None:
                         weight = own.word_weight(word)
                         if len(memory) < REMEMBERED:
                             memory[word] = weight
-                    z += weight
-                out[i] = z
+                    out[i] += weight
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -60, 60))))
 
     scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(name, F.pandas_udf(scored, "double")(F.col("text")))
+    return F.pandas_udf(scored, "double")
