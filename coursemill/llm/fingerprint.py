@@ -1,7 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in column expressions only.
 
-A text is cut into paragraphs (lines, and sentences within them) and each distinct one is hashed. A
-sketch of m cells adds every digest to one cell in each of three equal parts of the table; a cell has
+A text is cut into paragraphs, its lines, and each distinct one is hashed. A sketch of m cells adds every digest to one cell in each of three equal parts of the table; a cell has
 a count, the xor of its digests and the xor of their checksums. Only cells in use are kept, in order.
 
 Subtracting the cells of two versions cancels what they share. Peeling then finds cells with a single
@@ -28,7 +27,7 @@ CELLS = 30
 #: Retries have RETRY cells per possible difference, then twice as many.
 RETRY = 1.8
 PEEL_ROUNDS = 24
-PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
+PARAGRAPH_END = r"\n+"
 
 CELL = "struct<cell:int,n:int,key:bigint,check:bigint>"
 
@@ -50,13 +49,16 @@ def _checksum(digest: Column) -> Column:
 
 def _entries(digest: Column, sign: Column, cells: Column) -> Column:
     """What a digest adds to its three cells."""
-    part = (cells / 3).cast("int")
+    part = F.floor(cells / 3).cast("int")
 
-    def entry(k: int) -> Column:
-        cell = F.pmod(F.xxhash64(digest, F.lit(k)), part).cast("int") + part * k
-        return F.struct(cell.alias("cell"), sign.cast("int").alias("n"), digest.alias("key"), _checksum(digest).alias("check"))
+    def three(check: Column) -> Column:
+        def entry(k: int) -> Column:
+            cell = F.pmod(F.xxhash64(digest, F.lit(k)), part).cast("int") + part * k
+            return F.struct(cell.alias("cell"), sign.cast("int").alias("n"), digest.alias("key"), check.alias("check"))
 
-    return F.array(entry(0), entry(1), entry(2))
+        return F.array(entry(0), entry(1), entry(2))
+
+    return _let(_checksum(digest), three)
 
 
 def _folded(entries: Column) -> Column:
@@ -71,13 +73,14 @@ def _folded(entries: Column) -> Column:
         def cell_of(all_starts: Column) -> Column:
             def total(start: Column, at: Column) -> Column:
                 end = F.coalesce(F.get(all_starts, at + 1), F.size(line) + 1)
+                alone = F.element_at(line, start)
                 zero = F.struct(
                     F.element_at(line, start)["cell"].alias("cell"),
                     F.lit(0).alias("n"),
                     F.lit(0).cast("bigint").alias("key"),
                     F.lit(0).cast("bigint").alias("check"),
                 )
-                return F.aggregate(
+                several = F.aggregate(
                     F.slice(line, start, end - start),
                     zero,
                     lambda acc, x: F.struct(
@@ -87,12 +90,14 @@ def _folded(entries: Column) -> Column:
                         acc["check"].bitwiseXOR(x["check"]).alias("check"),
                     ),
                 )
+                return F.when(end == start + 1, alone).otherwise(several)
 
             return F.transform(all_starts, total)
 
-        return F.filter(_let(starts, cell_of), lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
+        cells = F.filter(_let(starts, cell_of), lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
+        return F.when(F.size(line) == 0, F.array().cast(f"array<{CELL}>")).otherwise(cells)
 
-    return F.when(F.size(entries) == 0, F.array().cast(f"array<{CELL}>")).otherwise(_let(F.sort_array(entries), fold))
+    return _let(F.sort_array(entries), fold)
 
 
 def sketch(digests: Column, cells: Column) -> Column:
@@ -124,13 +129,13 @@ def peeled(cells: Column, size: Column) -> Column:
 
         def taken(found: Column) -> Column:
             away = F.flatten(F.transform(found, lambda f: _entries(f["key"], -f["sign"], size)))
-            return F.when(F.size(found) == 0, state).otherwise(
-                F.struct(_folded(F.concat(state["cells"], away)).alias("cells"), F.concat(state["found"], found).alias("found"))
-            )
+            left = F.when(F.size(found) == 0, state["cells"]).otherwise(_folded(F.concat(state["cells"], away)))
+            more = F.size(found) > 0
+            return F.struct(left.alias("cells"), F.concat(state["found"], found).alias("found"), more.alias("more"))
 
-        return F.when(F.size(state["cells"]) == 0, state).otherwise(_let(pure, taken))
+        return F.when(state["more"] & (F.size(state["cells"]) > 0), _let(pure, taken)).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), nothing.alias("found"))
+    start = F.struct(cells.alias("cells"), nothing.alias("found"), F.lit(True).alias("more"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(PEEL_ROUNDS)), start, round_)
 
 
@@ -145,7 +150,7 @@ def likeness(digests_a: Column, digests_b: Column, cells_a: Column, cells_b: Col
     first = (F.ceil(both * F.lit(RETRY) / 3) * 3).cast("int") + F.lit(cells)
 
     def retry(size: Column) -> Column:
-        return _difference(sketch(digests_a, size), sketch(digests_b, size), size)
+        return _let(size, lambda m: _difference(sketch(digests_a, m), sketch(digests_b, m), m))
 
     exact = F.size(F.array_except(digests_a, digests_b)) + F.size(F.array_except(digests_b, digests_a))
     differ = F.coalesce(_difference(cells_a, cells_b, F.lit(cells)), retry(first), retry(first * 2), exact)
