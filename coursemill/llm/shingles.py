@@ -14,7 +14,7 @@ at least one band of r rows with probability 1 - (1 - s^r)^b.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -45,7 +45,7 @@ def choose_bands(threshold: float, recall: float, most: int = MOST_PERMUTATIONS)
     """(bands, rows) with the most rows per band, so the fewest chance candidates, that reach ``recall`` at ``threshold``."""
     best = None
     for rows in range(1, 33):
-        bands = 1 if threshold >= 1 else max(1, ceil(log(1 - recall) / log(1 - threshold**rows)))
+        bands = 1 if threshold >= 1 else max(1, ceil(log(1 - recall) / log1p(-(threshold**rows))))
         if bands * rows <= most:
             best = (bands, rows)
     if best is None:
