@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in column expressions only.
 
-A text is cut into paragraphs, its lines, and each distinct one is hashed. A sketch of m cells adds every digest to one cell in each of three equal parts of the table; a cell has
+A text is cut into paragraphs, the sentences of its lines, and each distinct one is hashed. A sketch of m cells adds every digest to one cell in each of three equal parts of the table; a cell has
 a count, the xor of its digests and the xor of their checksums. Only cells in use are kept, in order.
 
 Subtracting the cells of two versions cancels what they share. Peeling then finds cells with a single
@@ -27,7 +27,7 @@ CELLS = 30
 #: Retries have RETRY cells per possible difference, then twice as many.
 RETRY = 1.8
 PEEL_ROUNDS = 24
-PARAGRAPH_END = r"\n+"
+PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
 
 CELL = "struct<cell:int,n:int,key:bigint,check:bigint>"
 

@@ -38,10 +38,10 @@ MINIMIZER = 20
 #: Longest run of windows that is sent as one text.
 MOST_WINDOWS = 64
 #: Bytes of input for each chunk, bucket and shard.
-CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 16 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 16 << 20, 4 << 20
 SLICE = 1 << 18
 #: Memory for the queues of a shard's suffix sort; more goes to disk.
-SHARD_MEMORY = 192 << 20
+SHARD_MEMORY = 64 << 20
 
 _U = np.uint64
 
@@ -233,8 +233,8 @@ def _shard_spans(table: pa.Table, length: int, memory: int) -> pa.Table:
     found, begins = covered(texts, smallest, length, memory)
     lengths = np.array([len(t) for t in texts])
     # windows of a text's own first document that a smaller one has: runs inside the text
-    own = np.repeat(np.arange(len(texts)), lengths + 1)
-    earlier = found < smallest[own]
+    own = np.repeat(np.arange(len(texts), dtype=np.int32), lengths + 1)
+    earlier = found < np.repeat(smallest, lengths + 1)
     turn = np.diff(np.concatenate([[False], earlier, [False]]).astype(np.int8))
     run_from, run_to = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     run_text = own[run_from] if len(run_from) else np.zeros(0, dtype=np.int64)

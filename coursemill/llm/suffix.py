@@ -34,8 +34,8 @@ PAD = 64
 class Store:
     """Blocks of (position, prefix) in memory up to a budget, and in one file beyond it."""
 
-    def __init__(self, folder: str, memory: int):
-        self.memory, self.used = memory, 0
+    def __init__(self, folder: str, memory: int, kind: type):
+        self.memory, self.used, self.kind = memory, 0, np.dtype(kind)
         self.path = os.path.join(folder, f"blocks-{id(self)}")
         self.file = None
 
@@ -55,8 +55,8 @@ class Store:
             return handle
         at, count = handle
         self.file.seek(at)
-        raw = self.file.read(9 * count)
-        return np.frombuffer(raw, np.int64, count), np.frombuffer(raw, np.uint8, count, 8 * count)
+        raw = self.file.read((self.kind.itemsize + 1) * count)
+        return np.frombuffer(raw, self.kind, count), np.frombuffer(raw, np.uint8, count, self.kind.itemsize * count)
 
     def close(self) -> None:
         if self.file is not None:
@@ -387,14 +387,14 @@ def suffixes(
         return
     padded = np.zeros(n + PAD, dtype=np.uint8)
     padded[:n] = text
-    up = ascending(text)
-    stars = sorted_stars(text, up, folder, in_memory_names, held)
+    kind = np.int32 if n < 2**31 else np.int64
+    stars = sorted_stars(text, ascending(text), folder, in_memory_names, held).astype(kind)
     star_prefix = np.zeros(len(stars), dtype=np.uint8)
     for s in range(1, len(stars), 1 << 18):
         e = min(len(stars), s + (1 << 18))
-        star_prefix[s:e] = common_prefix(padded, n, stars[s - 1 : e - 1], stars[s:e], cap)
+        star_prefix[s:e] = common_prefix(padded, n, stars[s - 1 : e - 1].astype(np.int64), stars[s:e].astype(np.int64), cap)
     star_cuts = np.searchsorted(text[stars], np.arange(257))
-    store = Store(folder, memory)
+    store = Store(folder, memory, kind)
 
     def seam(a: int | None, b: int) -> int:
         if a is None or text[a] != text[b]:
@@ -412,7 +412,7 @@ def suffixes(
 
     falling = [Fifo(store) for _ in range(256)]
     state = _Prefixes(cap)
-    falling[text[n - 1]].push(np.array([n - 1]), np.zeros(1, dtype=np.uint8))
+    falling[text[n - 1]].push(np.array([n - 1], dtype=kind), np.zeros(1, dtype=np.uint8))
     state.fresh[text[n - 1]] = False
     state.since[text[n - 1]] = 0  # the end of the text has nothing in common with what follows
     state.since[:] = 0

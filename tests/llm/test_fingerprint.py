@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from coursemill.llm import fingerprint as fp
 
 
 def paragraphs(text):
-    return {p for p in (text or "").split("\n") if p}
+    return {p for p in re.split(r"\n+|(?<=[.!?])\s+", text or "") if p}
 
 
 def likeness(a, b):
@@ -17,7 +18,7 @@ def likeness(a, b):
 
 def test_fingerprints_against_sets(spark):
     rng = random.Random(7)
-    lines = [f"line {i} ñ" for i in range(400)]
+    lines = [f"line {i} ñ. And {i % 7}! So" for i in range(400)]
     rows = [(i * 7 % 101, "\n".join(rng.choice(lines) for _ in range(rng.choice([1, 2, 5, 20, 120])))) for i in range(60)]
     rows += [(500, None), (501, ""), (502, "\n\n"), (503, "one"), (504, "😀" * 7 + "\nx"), (505, rows[3][1])]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, range int, next_text string")
