@@ -37,8 +37,11 @@ def fill_zero(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     text = [
         f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in skip
     ]
-    filled = df.na.fill(0, subset=numeric) if numeric else df
-    return filled.na.fill("0", subset=text) if text else filled
+    fills = {n: 0 for n in numeric} | {n: "0" for n in text}
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in df.columns}
+    return df.select(
+        *[F.coalesce(quoted[c], F.lit(fills[c]).cast(df.schema[c].dataType)).alias(c) if c in fills else quoted[c] for c in df.columns]
+    )
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ FEATURE_LABELS = {
     "ALB": ("Abnormal albumin", "Pre-treatment labs"),
     "lastadmit": ("Time since last admission", "Pre-treatment encounters"),
     "daysyearadmit": ("Number of days admitted past year", "Pre-treatment encounters"),
-    "con_Antineoplastic.Agents": ("Concurrent systemic therapy", "Treatment/disease"),
+    "con_Antineoplastic Agents": ("Concurrent systemic therapy", "Treatment/disease"),
     "maxpain": ("Pain score 4+", "Pre-treatment vitals"),
 }
 
@@ -169,13 +169,14 @@ def lasso_path(
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(),
+        evaluator=BinaryClassificationEvaluator(numBins=0),
         numFolds=folds,
         seed=seed,
         parallelism=parallelism,
     ).fit(df)
     means = [float(m) for m in search.avgMetrics]
-    errors = [float(s) / math.sqrt(folds) for s in search.stdMetrics]
+    # stdMetrics are population deviations over the folds
+    errors = [float(s) / math.sqrt(max(1, folds - 1)) for s in search.stdMetrics]
     best = max(range(len(means)), key=lambda i: means[i])
     chosen = max(p for p, m in zip(penalties, means) if m >= means[best] - errors[best])
     table = df.sparkSession.createDataFrame(
@@ -308,7 +309,7 @@ def grid_search(
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(),
+        evaluator=BinaryClassificationEvaluator(numBins=0),
         numFolds=folds,
         seed=seed,
         parallelism=parallelism,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursemill.operators.ranking import hash_split
-from coursemill.operators.reshape import FEATURE
+from coursemill.operators.reshape import FAMILY, FEATURE, family_safe
 from coursemill.plans.cohort import KEYS
 
 # Columns that identify, leak what was delivered, or are outcomes.
@@ -90,11 +90,13 @@ def design_matrix(
             inputs.append(f"_o_{c}" if position == 0 else f"_d_{c}")
             names += [f"{c}{level}" for level in indexer.labels[:levels]]
     if store is not None:
+        store = family_safe(store) if FAMILY in store.columns else store
         present = store.groupBy(*keys).agg(F.collect_set(FEATURE).alias("_present"))
         rows = rows.join(present, keys, "left").withColumn(
             "_present", F.coalesce("_present", F.array().cast("array<string>"))
         )
-        stages.append(CountVectorizer(inputCol="_present", outputCol="_flags", binary=True))
+        vocabulary = store.select(FEATURE).distinct().count()
+        stages.append(CountVectorizer(inputCol="_present", outputCol="_flags", binary=True, vocabSize=max(1, vocabulary)))
         inputs.append("_flags")
     stages.append(VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep"))
     model = Pipeline(stages=[*fitted, *stages]).fit(rows if fit_where is None else rows.where(fit_where))
@@ -114,32 +116,34 @@ def near_zero_variance(
 ) -> DataFrame:
     """Variance profile per feature of a long (feature, value) table.
 
-    Rows a feature does not have count as zeros, up to ``n_rows``. ``nzv`` marks features that are
+    With a family column, features are told apart by (family, feature). Rows a feature does not have
+    count as zeros, up to ``n_rows``. ``nzv`` marks features that are
     constant, or whose top value outnumbers the runner-up by more than ``frequency_cut`` while at
     most ``unique_cut`` percent of the rows hold distinct values.
     """
     n = n_rows if isinstance(n_rows, Column) else F.lit(n_rows)
-    counted = values.groupBy(feature, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    key = [FAMILY, feature] if FAMILY in values.columns else [feature]
+    counted = values.groupBy(*key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     # Zeros, stored or implied, are one value: fold them into a single count per feature.
-    absent = counted.groupBy(feature).agg((n - F.sum("_n")).alias("_absent"))
+    absent = counted.groupBy(*key).agg((n - F.sum("_n")).alias("_absent"))
     zeros = absent.where(F.col("_absent") > 0).select(
-        feature, F.lit(0).cast("double").alias("_v"), F.col("_absent").alias("_n")
+        *key, F.lit(0).cast("double").alias("_v"), F.col("_absent").alias("_n")
     )
     complete = counted.withColumn("_v", F.col("_v").cast("double")).unionByName(zeros)
-    complete = complete.groupBy(feature, "_v").agg(F.sum("_n").alias("_n"))
-    top = complete.groupBy(feature).agg(
+    complete = complete.groupBy(*key, "_v").agg(F.sum("_n").alias("_n"))
+    top = complete.groupBy(*key).agg(
         F.max(F.struct("_n", "_v")).alias("_top"), F.count(F.lit(1)).alias("n_unique")
     )
     second = (
-        complete.join(top, feature)
+        complete.join(top, key)
         .where(~F.col("_v").eqNullSafe(F.col("_top._v")))
-        .groupBy(feature)
+        .groupBy(*key)
         .agg(F.max("_n").alias("_second"))
     )
     ratio = F.coalesce(F.col("_top._n") / F.col("_second"), F.lit(0.0))
     percent = F.lit(100.0) * F.col("n_unique") / n
-    return top.join(second, feature, "left").select(
-        feature,
+    return top.join(second, key, "left").select(
+        *key,
         "n_unique",
         ratio.alias("freq_ratio"),
         percent.alias("percent_unique"),
@@ -156,7 +160,8 @@ def numeric_long(df: DataFrame, columns: Iterable[str], keys: Iterable[str] = KE
 
 def drop_near_constant(store: DataFrame, profile: DataFrame) -> DataFrame:
     """Store without the features marked by ``near_zero_variance``."""
-    return store.join(profile.where("nzv").select(FEATURE), FEATURE, "left_anti")
+    key = [c for c in (FAMILY, FEATURE) if c in profile.columns]
+    return store.join(profile.where("nzv").select(*key), key, "left_anti")
 
 
 def stratum_key(flags: Iterable[str], outcome: str) -> Column:

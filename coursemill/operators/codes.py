@@ -23,6 +23,9 @@ FULL_LENGTH_CATEGORY = "C79"
 FULL_LENGTH_LABEL = "Secondary malignant neoplasm of other and unspecified sites"
 UNMATCHED_LABEL = "Prophylactic measures"
 
+# Fixed value: the lab whose test name is left empty in the source.
+MISSING_TEST = "Sodium"
+
 # Class keyword of the systemic agents and the ingredients taken off that list
 # after clinical review.
 AGENT_CLASS_KEYWORD = "Antineoplastic"
@@ -128,14 +131,18 @@ def describe_codes(
 
 
 def canonical_names(
-    df: DataFrame, test: str, base: str, description: str, order: str, alias: str = "canonical"
+    df: DataFrame, test: str, base: str, description: str, order: str, alias: str = "canonical", missing: str = MISSING_TEST
 ) -> DataFrame:
     """One name per lab from its test name, base name and description.
 
+    A missing (not a blank) test name becomes ``missing``, in the result as well.
+    Writes the distinct names to the shared folder while the plan is built.
+
     1. a test name becomes the base name it was first listed with;
     2. a result that equals some test's description becomes the first name listed for it;
     3. rows left without a name are dropped.
     """
+    df = df.withColumn(test, F.coalesce(F.col(test), F.lit(missing)))
     # All three steps depend on the distinct names only. That vocabulary is written once, and the
     # lab rows meet a single small (test name, canonical name) mapping.
     vocabulary = materialise(
@@ -158,8 +165,11 @@ def canonical_names(
     )
 
 
-def first_test_names(df: DataFrame, test: str, base: str, order: str, alias: str = "first_test") -> DataFrame:
+def first_test_names(
+    df: DataFrame, test: str, base: str, order: str, alias: str = "first_test", missing: str = MISSING_TEST
+) -> DataFrame:
     """Add the test name each base name was first listed with; an unlisted base name stays itself."""
+    df = df.withColumn(test, F.coalesce(F.col(test), F.lit(missing)))
     both = df.where(nonblank(F.col(base)) & nonblank(F.col(test)))
     test_of_base = first_by_order(both, base, test, order, "_test")
     return map_values(df.withColumn(alias, F.col(base)), alias, test_of_base, base, "_test")

@@ -8,11 +8,21 @@ it. Bucket totals are at most (groups x buckets) rows.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_DIGITS = 3  # leading hex digits, 4096 buckets
+HASH_DIGITS = 3  # leading hex digits, 4096 buckets unless asked for more
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Inner join in which a null key equals a null key; the keys come once."""
+    keys = list(keys)
+    other = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys])
+    return left.join(other, same).drop(*[f"_other_{k}" for k in keys])
 
 
 def cumulative_totals(
@@ -43,7 +53,7 @@ def cumulative_totals(
     )
     within = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumns({f"_local_{n}": F.sum(c).over(within) for n, c in totals.items()})
-    joined = local.join(offsets, [*groups, bucket])
+    joined = join_null_safe(local, offsets, [*groups, bucket])
     return joined.withColumns(
         {n: F.col(f"_before_{n}") + F.col(f"_local_{n}") for n in totals}
     ).drop(*[f"_before_{n}" for n in totals], *[f"_local_{n}" for n in totals])
@@ -61,10 +71,11 @@ def shuffled_rank(
     alias: str,
     groups: Iterable[str] = (),
     size: str | None = None,
+    digits: int = HASH_DIGITS,
 ) -> DataFrame:
     """Rank 1..n (per group) in the repeatable random order of ``uniform_key``; ``size`` names n."""
     placed = df.withColumns({"_u": uniform_key(keys, seed), "_one": F.lit(1)}).withColumn(
-        "_b", F.substring("_u", 1, HASH_DIGITS)
+        "_b", F.substring("_u", 1, digits)
     )
     overall = {alias: size} if size else {}
     return cumulative_totals(placed, groups, "_b", [F.col("_u")], {alias: "_one"}, overall=overall).drop(
@@ -73,8 +84,8 @@ def shuffled_rank(
 
 
 def hash_split(
-    df: DataFrame, keys: Iterable[str], stratum: str, fraction: float = 0.75, seed: int = 220
+    df: DataFrame, keys: Iterable[str], stratum: str, fraction: float = 0.75, seed: int = 220, digits: int = HASH_DIGITS
 ) -> DataFrame:
-    """Exact stratified split: adds ``is_train``, true for ceil(fraction * n) rows per stratum."""
-    ranked = shuffled_rank(df, keys, seed, "_rank", [stratum], size="_n")
+    """Exact stratified split: adds ``is_train``, true for ceil(fraction * n) rows per stratum; null is a stratum."""
+    ranked = shuffled_rank(df, keys, seed, "_rank", [stratum], size="_n", digits=digits)
     return ranked.withColumn("is_train", F.col("_rank") <= F.ceil(F.col("_n") * F.lit(fraction))).drop("_rank", "_n")

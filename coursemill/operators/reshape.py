@@ -55,4 +55,20 @@ def pivot_indicators(long: DataFrame, keys: Iterable[str], names: list[str] | No
     if names is None:
         names = [r[0] for r in long.select(FEATURE).distinct().orderBy(FEATURE).collect()]
     wide = long.groupBy(*keys).pivot(FEATURE, names).agg(F.max(F.lit(1)))
-    return wide.na.fill(0, subset=names)
+    return wide.select(*keys, *[F.coalesce(quoted(n), F.lit(0)).alias(n) for n in names])
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def family_safe(long: DataFrame) -> DataFrame:
+    """Rows whose feature name occurs in several families get it as ``feature.family``.
+
+    The (family, feature) vocabulary is aggregated first and meets the rows in one join.
+    """
+    names = long.select(FAMILY, FEATURE).distinct()
+    shared = names.groupBy(FEATURE).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(FEATURE, F.lit(True).alias("_shared"))
+    renamed = F.when(F.col("_shared"), F.concat_ws(".", FEATURE, FAMILY)).otherwise(F.col(FEATURE))
+    return long.join(shared, FEATURE, "left").withColumn(FEATURE, renamed).select(long.columns)

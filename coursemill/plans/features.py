@@ -31,9 +31,6 @@ NEVER = 1e100
 # Fixed value: marks a planned admission.
 PLANNED_MARK = "CHEMO"
 
-# Code slots read from each list.
-CODE_SLOTS = 4
-
 # Social-history answers that say nothing.
 NO_ANSWER, UNKNOWN = ("Defer", "Not Asked"), "UNKNOWN"
 SOCIAL_FIELDS = ("tobacco", "alcohol", "illicit_drug", "sexually_active")
@@ -435,12 +432,14 @@ def course_diagnoses(
     terms: DataFrame,
     short_terms: DataFrame | None = None,
     separator: str = " ,",
-    max_slots: int | None = CODE_SLOTS,
+    max_slots: int | None = None,
     on: str = "mrn",
     bucket_days: int = 64,
 ) -> DataFrame:
     """Diagnosis and sub-chapter indicators from the code lists of a course's charges.
 
+    Every code of a list counts; ``max_slots`` keeps only the leading ones.
+
     Codes become names per distinct (day, code), names meet distinct date ranges of the patient, and
     only the names found in a range are spread over its courses: each step is bounded by calendar and
     vocabulary, however many charges or courses a patient has.
@@ -484,7 +483,7 @@ def history_codes(
     diagnoses: DataFrame,
     crosswalk: DataFrame,
     separator: str = ", ",
-    max_slots: int | None = CODE_SLOTS,
+    max_slots: int | None = None,
 ) -> DataFrame:
     """``(pid, date, three_digit)``, first dates only, from problem lists and both diagnosis code sets."""
     listed = problems.select(

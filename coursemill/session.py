@@ -35,10 +35,16 @@ _FALLBACKS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared scratch folder, which ``spark.checkpoint.dir`` names.
+
+    Where none is configured, a local session (tests) gets a temporary one; on a cluster executors would
+    write to their own disks, so that raises.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     application = spark.sparkContext.applicationId
     if application not in _FALLBACKS:
         _FALLBACKS[application] = tempfile.mkdtemp(prefix="coursemill-")

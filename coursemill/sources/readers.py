@@ -45,15 +45,18 @@ def read_table(
     types: Mapping[str, str] | None = None,
     ordered: bool = False,
     rename: Mapping[str, str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A CSV table with a header row.
 
+    ``multi_line`` allows line breaks inside quoted fields; a file is then read by one task.
+
     ``types`` maps repaired column names to ``string``, ``double``, ``int``, ``date``,
     ``date_minute`` or ``date_second``; when given, only those columns are read on. Values that
     do not fit become null. ``ordered`` adds the sortable ``source_order`` column for
     first-in-file rules.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=False)
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
     order = [_position().alias(ORDINAL)] if ordered else []
     raw = raw.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, syntactic_names(raw.columns))], *order

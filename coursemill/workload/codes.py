@@ -99,21 +99,22 @@ def code_rollup_describe(spark: SparkSession, sf: str) -> DataFrame:
     return labelled.drop("code_final")
 
 
-@query(
-    "course_diagnoses",
-    f"""WITH {roles.SPINE}, {roles.CODES},
+def _course_diagnoses_sql(slots: str) -> str:
+    return f"""WITH {roles.SPINE}, {roles.CODES},
 listed AS (
   SELECT o_custkey AS pid, CAST(l_shipdate AS DATE) AS d, {roles.PART_LIST} AS diagnosis_list
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN code_part ON l_partkey = p_partkey),
 slots AS (
-  SELECT DISTINCT s.pid, course, replace(unnest(string_split(diagnosis_list, ' ,')[1:4]), '.', '') AS code
+  SELECT DISTINCT s.pid, course, replace(unnest(string_split(diagnosis_list, ' ,'){slots}), '.', '') AS code
   FROM spine s JOIN listed l ON s.pid = l.pid AND d BETWEEN s AND e),
 codes AS (SELECT DISTINCT code FROM slots), {_STAGES}, {_ROLLED}
 SELECT DISTINCT pid, course, 'coursedx' AS family, 'coursedx_' || description AS feature, CAST(1 AS DOUBLE) AS value FROM slots JOIN labelled ON orig = code
 UNION ALL
-SELECT DISTINCT pid, course, 'coursesub', 'coursesub_' || sub_chapter, CAST(1 AS DOUBLE) FROM slots JOIN labelled ON orig = code""",
-)
-def course_diagnoses(spark: SparkSession, sf: str) -> DataFrame:
+SELECT DISTINCT pid, course, 'coursesub', 'coursesub_' || sub_chapter, CAST(1 AS DOUBLE) FROM slots JOIN labelled ON orig = code"""
+
+
+@query("course_diagnoses", _course_diagnoses_sql(""))
+def course_diagnoses(spark: SparkSession, sf: str, max_slots: int | None = None) -> DataFrame:
     dictionary = roles.code_parts(spark, sf).select("p_partkey", roles.diagnosis_list().alias("diagnosis_list"))
     charged = (
         roles.lines(spark, sf, part=False)
@@ -128,9 +129,16 @@ def course_diagnoses(spark: SparkSession, sf: str) -> DataFrame:
         subchapter_map(roles.hierarchy(spark, sf), "source_order"),
         _terms(roles.term_rows(spark, sf)),
         _terms(roles.short_term_rows(spark, sf)),
+        max_slots=max_slots,
     )
 
 
+@query("course_diagnoses_four_slots", _course_diagnoses_sql("[1:4]"))
+def course_diagnoses_four_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """The leading four codes of each list, for parity with tables that had four slots."""
+    return course_diagnoses(spark, sf, 4)
+
+
 @query(
     "history_union",
     f"""WITH {roles.SPINE}, {roles.CODES},
@@ -138,7 +146,7 @@ line AS (
   SELECT o_custkey AS pid, CAST(l_shipdate AS DATE) AS d, l_returnflag, l_linestatus, code_part.*
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN code_part ON l_partkey = p_partkey),
 problem AS (
-  SELECT pid, coalesce(CASE WHEN l_returnflag <> 'A' THEN d END, d + 3) AS d, unnest(string_split(ten3 || '.1, C79.' || b1, ', ')) AS code
+  SELECT pid, coalesce(CASE WHEN l_returnflag <> 'A' THEN d END, d + 3) AS d, unnest(string_split(ten3 || '.1, C79.' || b1 || ', C50.1, C34.1, C18.2, C16.9', ', ')) AS code
   FROM line WHERE l_linestatus = 'F'),
 diag AS (
   SELECT pid, d, CASE p_type WHEN 'SMALL' THEN '' ELSE CASE l_returnflag WHEN 'R' THEN ten3 || '.' || b1 ELSE c3 || '.' || b1 END END AS code,
@@ -163,7 +171,7 @@ def history_union(spark: SparkSession, sf: str) -> DataFrame:
         "pid",
         F.when(F.col("l_returnflag") != "A", F.col("d")).alias("noted_date"),
         F.date_add("d", 3).alias("entered_date"),
-        F.concat("ten3", F.lit(".1, C79."), "b1").alias("icd10_list"),
+        F.concat("ten3", F.lit(".1, C79."), "b1", F.lit(", C50.1, C34.1, C18.2, C16.9")).alias("icd10_list"),
     )
     flag = F.col("l_returnflag")
     diagnoses = line.where(F.col("l_linestatus") == "O").select(

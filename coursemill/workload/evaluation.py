@@ -29,7 +29,10 @@ distinct_scores AS (SELECT score, sum(label) AS pos, count(*) - sum(label) AS ne
 points AS (
   SELECT score AS threshold, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, m, k
   FROM distinct_scores, size),
-roc AS (SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tp AS DOUBLE) / m AS sensitivity, 1 - CAST(fp AS DOUBLE) / k AS specificity FROM points)"""
+ends AS (
+  SELECT coalesce((threshold + lag(threshold) OVER (ORDER BY threshold)) / 2, '-infinity'::DOUBLE) AS threshold, tp, fp, m, k FROM points
+  UNION ALL SELECT 'infinity'::DOUBLE, 0, 0, m, k FROM size),
+roc AS (SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tp AS DOUBLE) / m AS sensitivity, 1 - CAST(fp AS DOUBLE) / k AS specificity FROM ends)"""
 
 
 @query(
@@ -85,6 +88,22 @@ def best_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.best_cutoffs(_orders(spark, sf))
 
 
+@query(
+    "cutoff_confusion",
+    f"""WITH {_ORDERS}, {_POINTS},
+picked AS (
+  SELECT 'topleft' AS rule, (SELECT threshold FROM roc ORDER BY round((1 - sensitivity) * (1 - sensitivity) + (1 - specificity) * (1 - specificity), 12), threshold LIMIT 1) AS cutoff
+  UNION ALL SELECT 'youden', (SELECT threshold FROM roc ORDER BY round(sensitivity + specificity, 12) DESC, threshold LIMIT 1))
+SELECT rule, cutoff, tp, fp, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity FROM picked JOIN roc ON threshold = cutoff""",
+)
+def cutoff_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Confusion at the best cutoffs; its rates are those of the chosen points of the curve."""
+    scores = _orders(spark, sf)
+    best = evaluate.best_cutoffs(scores).first()
+    table = evaluate.confusion(scores, {"topleft": best["topleft"], "youden": best["youden"]})
+    return table.select("rule", "cutoff", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("sensitivity", "specificity")])
+
+
 _CUTOFFS = {"half": 250000.0, "low": 100000.0}
 
 

@@ -9,6 +9,7 @@ from coursemill.functions import null_profile
 from coursemill.operators import lookback_join, pivot_indicators
 from coursemill.operators.codes import canonical_names, cohort_ingredients, drug_classes, first_test_names
 from coursemill.plans import assemble, features
+from coursemill.session import materialise
 from coursemill.workload import roles
 from coursemill.workload.registry import query
 
@@ -361,7 +362,7 @@ final AS (
   WHERE (s - dob) / 365.25 >= 18 AND notdisch = 0)"""
 
 
-def final_courses(spark: SparkSession, sf: str) -> DataFrame:
+def final_courses(spark: SparkSession, sf: str, fill: bool = True) -> DataFrame:
     spine = roles.spine(spark, sf)
     return assemble.course_table(
         spine,
@@ -370,6 +371,7 @@ def final_courses(spark: SparkSession, sf: str) -> DataFrame:
         features.ed_visits(spine, roles.ed_visits(spark, sf)),
         [features.abnormal_vitals(spine, roles.vitals(spark, sf))],
         features.zip_areas(_addresses(spark, sf)),
+        fill=fill,
     )
 
 
@@ -395,7 +397,7 @@ SELECT pid, course, adm_ed, lasted, numyearadmit, {", ".join(f"coalesce(proc_{t}
 FROM final LEFT JOIN flags USING (pid, course)""",
 )
 def wide_export(spark: SparkSession, sf: str) -> DataFrame:
-    courses = final_courses(spark, sf).select("pid", "course", "adm_ed", "lasted", "numyearadmit")
+    courses = materialise(final_courses(spark, sf, fill=False).select("pid", "course", "adm_ed", "lasted", "numyearadmit"), "wide-courses")
     store = _procedures(spark, sf).where(F.col("family") == "proc")
     return assemble.wide_table(courses, assemble.eligible_features(store, courses), [f"proc_{t}" for t in _TYPES])
 

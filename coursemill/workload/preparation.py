@@ -17,11 +17,11 @@ from coursemill.workload.registry import query
 @query(
     "nzv",
     f"""WITH {_PROC_SQL}, size AS (SELECT count(*) AS n FROM spine),
-present AS (SELECT feature, count(*) AS c FROM proc_long GROUP BY 1),
+present AS (SELECT family, feature, count(*) AS c FROM proc_long GROUP BY 1, 2),
 prof AS (
-  SELECT feature, CASE WHEN c < n THEN 2 ELSE 1 END AS n_unique,
+  SELECT family, feature, CASE WHEN c < n THEN 2 ELSE 1 END AS n_unique,
          CASE WHEN c < n THEN CAST(greatest(c, n - c) AS DOUBLE) / least(c, n - c) ELSE 0 END AS freq_ratio, n FROM present, size)
-SELECT feature, CAST(n_unique AS BIGINT) AS n_unique, round(freq_ratio, 6) AS freq_ratio, round(100.0 * n_unique / n, 6) AS percent_unique,
+SELECT family, feature, CAST(n_unique AS BIGINT) AS n_unique, round(freq_ratio, 6) AS freq_ratio, round(100.0 * n_unique / n, 6) AS percent_unique,
        n_unique = 1 OR (freq_ratio > 19 AND 100.0 * n_unique / n <= 10) AS nzv FROM prof""",
 )
 def nzv(spark: SparkSession, sf: str) -> DataFrame:

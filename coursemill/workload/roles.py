@@ -160,19 +160,20 @@ def vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LABS = """lab AS (
-  SELECT pid, d, p_name AS test_name, CASE p_type WHEN 'PROMO' THEN '' ELSE p_brand END AS base_name,
+LABS = """lab_source AS (
+  SELECT pid, d, CASE WHEN l_linenumber <> 6 THEN p_name END AS test_name, CASE p_type WHEN 'PROMO' THEN '' ELSE p_brand END AS base_name,
          'Brand#' || CAST(l_linenumber AS VARCHAR) AS test_description,
          CASE l_returnflag WHEN 'N' THEN '' ELSE l_returnflag END AS abnormal_flag,
          l_linestatus AS status_code, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity
-  FROM line)"""
+  FROM line),
+lab AS (SELECT * REPLACE (coalesce(test_name, 'Sodium') AS test_name) FROM lab_source)"""
 
 
 def labs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select(
         "pid",
         F.col("d").alias("specimen_date"),
-        F.col("p_name").alias("test_name"),
+        F.when(F.col("l_linenumber") != 6, F.col("p_name")).alias("test_name"),
         F.when(F.col("p_type") == "PROMO", "").otherwise(F.col("p_brand")).alias("base_name"),
         F.concat(F.lit("Brand#"), F.col("l_linenumber").cast("string")).alias("test_description"),
         F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("abnormal_flag"),

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from datetime import date
 from pathlib import Path
 
@@ -18,6 +19,7 @@ def spark():
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="6g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="coursemill-tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

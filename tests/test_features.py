@@ -219,7 +219,7 @@ def test_history_from_three_sources(spark, one_course, day):
     known = ["E11", "I10", "C50", "J44", "E10", "N18", "K21", "F32", "Z99", "A00"]
     chapters = spark.createDataFrame([(c, f"ch {c}") for c in known], "three_digit string, sub_chapter string")
     got = {r.feature for r in f.past_history(one_course, history, chapters).collect()}
-    assert got == {"ch E11", "ch I10", "ch C50", "ch E10", "ch N18", "ch A00"}
+    assert got == {"ch E11", "ch I10", "ch C50", "ch E10", "ch N18", "ch A00", "ch Z99"}
     terms = spark.createDataFrame([("E11", "Diabetes")], "code string, short_desc string")
     both = f.past_history(one_course, history, chapters, terms)
     assert rows(both.where("family = 'pmhdx'"), "course", "feature") == [("A", "Diabetes")]
@@ -238,7 +238,7 @@ def test_course_diagnoses(spark, day):
     assert sorted(got) == [
         ("coursedx", "coursedx_Bone"), ("coursedx", "coursedx_Bone mets"), ("coursedx", "coursedx_Breast cancer"),
         ("coursedx", "coursedx_Prophylactic measures"), ("coursesub", "coursesub_Breast"), ("coursesub", "coursesub_Mets"),
-        ("coursesub", "coursesub_Prophylactic measures"),
+        ("coursesub", "coursesub_Pressure"), ("coursesub", "coursesub_Prophylactic measures"),
     ]
 
 
@@ -273,3 +273,14 @@ def test_assembly(spark, day):
     wide = assemble.wide_table(table, kept)
     assert rows(wide, "course", "ALB") == [("c1", 1), ("c4", 0)]
     assert wide.groupBy("pid", "course").count().where("count > 1").count() == 0
+
+
+def test_wide_export_drops_before_it_fills_and_takes_any_name(spark):
+    courses = spark.createDataFrame([(1, "a", None, 2.0), (2, "b", None, None)], "pid int, course string, attending string, dose double")
+    store = spark.createDataFrame(
+        [(1, "a", "coursedx", "dx_a.b, c", 1.0), (1, "a", "recclass", "rec_x", 1.0), (2, "b", "recmed", "rec_x", 1.0)],
+        "pid int, course string, family string, feature string, value double",
+    )
+    wide = assemble.wide_table(courses, store)
+    assert wide.columns == ["pid", "course", "dose", "dx_a.b, c", "rec_x.recclass", "rec_x.recmed"]
+    assert rows(wide) == [(1, "a", 2.0, 1, 1, 0), (2, "b", 0.0, 0, 0, 1)]

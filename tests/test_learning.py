@@ -32,6 +32,26 @@ def test_near_zero_variance_with_implied_zeros(spark):
     assert {r.feature for r in kept.select("feature").distinct().collect()} == {"edge", "common", "spread"}
 
 
+def test_near_zero_variance_by_family(spark):
+    data = [("recclass", "x", 1.0)] * 5 + [("recmed", "x", 1.0)] * 10
+    profile = prepare.near_zero_variance(spark.createDataFrame(data, "family string, feature string, value double"), 12)
+    got = {r.family: (r.n_unique, r.nzv) for r in profile.collect()}
+    assert got == {"recclass": (2, False), "recmed": (2, False)}
+
+
+def test_split_keeps_rows_without_stratum(spark):
+    df = spark.range(20).selectExpr("id", "if(id < 10, 'a', null) as s")
+    train, test = prepare.train_test_split(df, ["id"], "s")
+    assert train.where("s IS NULL").count() == 8 and train.count() + test.count() == 20
+
+
+def test_matrix_holds_all_features_of_all_families(spark):
+    df = spark.createDataFrame([(1, "a", 1.5, 1), (2, "b", 2.5, 0)], "pid int, course string, age double, adm_ed int")
+    store = spark.createDataFrame([(1, "a", "recclass", "x", 1.0), (2, "b", "recmed", "x", 1.0)], "pid int, course string, family string, feature string, value double")
+    _, names, _ = prepare.design_matrix(df, ["age"], [], store)
+    assert sorted(names) == ["age", "x.recclass", "x.recmed"]
+
+
 def test_stratum_key(spark):
     df = spark.createDataFrame([(1, 1, 1, 0), (0, 1, 1, 1), (0, 0, 1, 0), (0, 0, 0, 1)], "m int, a int, b int, y int")
     assert [r[0] for r in df.select(prepare.stratum_key(["m", "a", "b"], "y")).collect()] == ["1 0 0 0", "2 2 2 1", "0 0 1 0", "0 0 0 1"]
