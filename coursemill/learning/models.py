@@ -98,36 +98,35 @@ def gini_importance(spark: SparkSession, model, names: Sequence[str]) -> DataFra
 
 
 def permutation_importance(
-    model, df: DataFrame, names: Sequence[str], positions: Sequence[int], keys: Iterable[str] = KEYS, seed: int = FOREST_SEED
+    model, df: DataFrame, names: Sequence[str], positions: Sequence[int] | None = None, keys: Iterable[str] = KEYS, seed: int = FOREST_SEED
 ) -> DataFrame:
-    """Accuracy lost when one feature's values are exchanged between rows.
+    """Accuracy lost when one feature's values are exchanged between rows; all features by default.
 
     Two repeatable random ranks pair every row with exactly one other row, so a single shuffle join
-    gives all features their permutation; rows are then repeated once per tested position and scored
-    in one pass.
+    gives all features their permutation. A row is scored again only for the positions in which it
+    differs from its partner, which are few in sparse rows; in all others its prediction stands.
     """
-    keys, positions = list(keys), list(positions)
-    own = shuffled_rank(df.select(*keys, "label", "features"), keys, seed, "_rank")
+    keys = list(keys)
+    positions = list(range(len(names))) if positions is None else list(positions)
+    own = shuffled_rank(model.transform(df).select(*keys, "label", "features", "prediction"), keys, seed, "_rank")
     donor = shuffled_rank(df.select(*keys, F.col("features").alias("_donor")), keys, seed + 1, "_rank")
-    paired = own.join(donor.select("_rank", "_donor"), "_rank").withColumns(
-        {"_x": vector_to_array("features"), "_y": vector_to_array("_donor")}
+    paired = own.join(donor.select("_rank", "_donor"), "_rank").select(
+        "label",
+        (F.col("prediction") == F.col("label")).cast("int").alias("_was"),
+        vector_to_array("features").alias("_x"),
+        vector_to_array("_donor").alias("_y"),
     )
-    tested = F.explode(F.array(F.lit(-1), *[F.lit(p) for p in positions])).alias("position")
-    swapped = F.transform(
-        "_x", lambda x, i: F.when(i == F.col("position"), F.get(F.col("_y"), i)).otherwise(x)
-    )
-    repeated = paired.select("label", "_x", "_y", tested).select(
-        "label", "position", array_to_vector(swapped).alias("features")
-    )
-    hits = (
-        model.transform(repeated)
-        .groupBy("position")
-        .agg(F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0)).alias("accuracy"))
-    )
-    base = hits.where(F.col("position") == -1).select("accuracy").scalar()
-    label = F.create_map(*[F.lit(v) for p in positions for v in (p, names[p])])
-    return hits.where(F.col("position") >= 0).select(
-        label[F.col("position")].alias("feature"), (base - F.col("accuracy")).alias("importance")
+    differs = F.filter(F.lit(positions), lambda i: F.get(F.col("_x"), i) != F.get(F.col("_y"), i))
+    tested = paired.select("*", F.explode(differs).alias("position"))
+    swapped = F.transform("_x", lambda x, i: F.when(i == F.col("position"), F.get(F.col("_y"), i)).otherwise(x))
+    again = model.transform(tested.select("label", "_was", "position", array_to_vector(swapped).alias("features")))
+    change = F.sum((F.col("prediction") == F.col("label")).cast("int") - F.col("_was"))
+    changes = again.groupBy("position").agg(change.alias("_change"))
+    n = df.agg(F.count(F.lit(1))).scalar()
+    spark = df.sparkSession
+    listed = spark.createDataFrame([(p, names[p]) for p in positions], "position int, feature string")
+    return listed.join(changes, "position", "left").select(
+        "feature", (-F.coalesce("_change", F.lit(0)) / n).alias("importance")
     )
 
 

@@ -292,21 +292,6 @@ def _state_rules() -> dict[str, tuple[Column, Column, Column]]:
     }
 
 
-def _unknown_rules() -> dict[str, tuple[Column, Column, Column]]:
-    """Course starts for which an order with a missing date leaves a state undecided."""
-    begun, ended, open_end = F.col("start_date"), F.col("end_date"), F.lit(None).cast("date")
-    no_end, no_begin = begun.isNotNull() & ended.isNull(), begun.isNull() & ended.isNotNull()
-    always = F.lit(True)
-    return {
-        "any": (always, open_end, open_end),
-        "concurrent?": (no_end, F.date_sub(begun, CONCURRENT_AFTER), F.date_add(begun, CONCURRENT_BEFORE)),
-        "concurrent??": (no_begin, open_end, F.date_sub(ended, 1)),
-        "recent?": (no_end, open_end, F.date_add(begun, RECENT_DAYS)),
-        "recent??": (no_begin, ended, open_end),
-        "neither": (begun.isNull() & ended.isNull(), open_end, open_end),
-    }
-
-
 def _order_intervals(orders: DataFrame, columns: list[str], rules: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
     entries = [
         F.when(needed, F.struct(F.lit(state).alias("state"), low.alias("low"), high.alias("high")))
@@ -404,15 +389,36 @@ def any_agent(
     classes = codes.drug_classes(dictionary)
     agents = codes.cohort_ingredients(classes, orders, keyword, exclude)
     agent_drugs = keep_members(classes, agents, "ingredient").select("drug_name").distinct()
-    mine = keep_members(orders, agent_drugs, "drug_name")
-    rules = {k: v for k, v in _state_rules().items() if k != "current"} | _unknown_rules()
+    mine = keep_members(orders, agent_drugs, "drug_name").select("pid", "start_date", "end_date").distinct()
+    begun, ended = F.col("start_date"), F.col("end_date")
+    no_end, no_begin = begun.isNotNull() & ended.isNull(), begun.isNull() & ended.isNotNull()
+    # an order without one of its dates leaves a state open on one side of a day: the farthest such
+    # day of a patient decides for all of its starts
+    open_ended = mine.groupBy("pid").agg(
+        F.max(F.when(no_begin, F.date_sub(ended, 1))).alias("_concurrent_until"),
+        F.max(F.when(no_end, F.date_add(begun, RECENT_DAYS))).alias("_recent_until"),
+        F.min(F.when(no_begin, ended)).alias("_recent_from"),
+        F.max(begun.isNull() & ended.isNull()).alias("_undated"),
+    )
+    rules = {k: v for k, v in _state_rules().items() if k != "current"}
+    rules["concurrent?"] = (no_end, F.date_sub(begun, CONCURRENT_AFTER), F.date_add(begun, CONCURRENT_BEFORE))
     held = _starts_within(spine, _order_intervals(mine, ["pid"], rules), bucket_days)
-
-    def decided(state: str) -> Column:
-        unknown = F.max(F.col("state").isin(f"{state}?", f"{state}??", "neither"))
-        return F.when(~unknown, F.max(_flag(F.col("state") == state))).alias(state)
-
-    per_start = held.groupBy("pid", "start").agg(decided("concurrent"), decided("recent"))
+    known = held.groupBy("pid", "start").agg(
+        *[F.max(F.col("state") == state).alias(name) for name, state in (("_con", "concurrent"), ("_rec", "recent"), ("_con_open", "concurrent?"))]
+    )
+    starts = _starts(spine).join(open_ended, "pid").join(known, ["pid", "start"], "left")
+    no = F.lit(False)
+    start = F.col("start")
+    concurrent_unknown = F.col("_undated") | F.coalesce("_con_open", no) | F.coalesce(start <= F.col("_concurrent_until"), no)
+    recent_unknown = (
+        F.col("_undated") | F.coalesce(start <= F.col("_recent_until"), no) | F.coalesce(start >= F.col("_recent_from"), no)
+    )
+    per_start = starts.select(
+        "pid",
+        "start",
+        F.when(~concurrent_unknown, _flag(F.coalesce("_con", no))).alias("concurrent"),
+        F.when(~recent_unknown, _flag(F.coalesce("_rec", no))).alias("recent"),
+    )
     return _to_courses(spine, per_start)
 
 

@@ -97,9 +97,7 @@ def rf_importance(spark: SparkSession, sf: str) -> DataFrame:
 def perm_importance(spark: SparkSession, sf: str) -> DataFrame:
     train, test, names = _split(spark, sf)
     model = models.forest(_TREES, depth=6).fit(train)
-    gini = model.featureImportances.toArray()
-    leading = sorted(range(len(names)), key=lambda i: -gini[i])[:10]
-    return models.permutation_importance(model, test, names, leading)
+    return models.top_importance(models.permutation_importance(model, test, names), 10)
 
 
 @query("lasso_1se")
