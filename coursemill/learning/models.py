@@ -62,6 +62,12 @@ def score(model: Model, df: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
     return model.transform(df).select(*keys, "label", vector_to_array("probability")[1].alias("score"))
 
 
+def stratified_folds(df: DataFrame, keys: Iterable[str], stratum: str, folds: int = FOLDS, seed: int = FOREST_SEED) -> DataFrame:
+    """Adds ``fold``: rows of each stratum are dealt to the folds in turn, in repeatable random order."""
+    ranked = shuffled_rank(df, keys, seed, "_rank", [stratum])
+    return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(folds)).cast("int")).drop("_rank")
+
+
 def with_folds(df: DataFrame, keys: Iterable[str] = KEYS, folds: int = FOLDS, seed: int = FOREST_SEED) -> DataFrame:
     """Repeatable fold number per row, from a hash of its key."""
     digits = F.conv(F.substring(uniform_key(keys, seed), 1, 8), 16, 10).cast("long")
@@ -356,7 +362,7 @@ def learning_curve(
 
     Wide like an evaluation log: ``iter, train_auc_mean, train_auc_std, test_auc_mean, test_auc_std``.
     """
-    marked = with_folds(df, keys, folds, seed)
+    marked = stratified_folds(df, keys, "label", folds, seed)
     stops = list(at) if at is not None else None
     logs = None
     for k in range(folds):

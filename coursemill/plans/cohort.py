@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from coursemill.functions.nulls import drop_incomplete, strict
 from coursemill.functions.text import has_text, with_flags
 from coursemill.operators.intervals import point_in_interval
-from coursemill.operators.joins import attach_surrogate, keep_members, remap_ids
+from coursemill.operators.joins import keep_members, remap_ids
 from coursemill.operators.rollups import rollup_plans
 
 KEYS = ("pid", "course")
@@ -95,11 +95,15 @@ def treatment_rows(
 
 def identify(rows: DataFrame, people: DataFrame, id_changes: DataFrame | None = None) -> DataFrame:
     """Current record number ``mrn`` and surrogate ``pid`` in place of ``patient_id``; strangers go."""
-    current = rows if id_changes is None else remap_ids(rows, id_changes, "patient_id", "old_id", "new_id")
-    known = attach_surrogate(
-        current.withColumnRenamed("patient_id", "mrn"), people, "mrn", "pid", complete_rows=False
-    )
-    return known.where(F.col("pid").isNotNull())
+    current = people.select(F.col("mrn").alias("_id"), "mrn", "pid")
+    if id_changes is not None:
+        # one table from any id to the current ones, so that the rows are shuffled for ids once
+        moved = id_changes.select(F.col("old_id").alias("_id"), F.coalesce("new_id", "old_id").alias("mrn")).distinct()
+        kept = current.join(moved.select("_id").distinct(), "_id", "left_anti")
+        current = kept.unionByName(moved.join(people.select("mrn", "pid"), "mrn"))
+    joined = rows.join(current, rows["patient_id"] == current["_id"])
+    others = [c for c in rows.columns if c != "patient_id"]
+    return joined.where(F.col("pid").isNotNull()).select("mrn", *others, "pid")
 
 
 def treatment_charges(
@@ -133,7 +137,8 @@ def course_spine(
     ``assign_courses``, but charges are summed per patient, day and attending before anything is
     joined, and courses reduced to distinct date ranges, so that a patient with very many charges
     or courses meets at most one row per day and attending for each range. Courses without any
-    charge, and those with an excluded technique, are left out.
+    charge, and those with an excluded technique, are left out. ``cohort`` is read twice: pass a
+    written one (``session.materialise``).
     """
     techniques, excluded = list(techniques), list(excluded)
     per_day = treatments.groupBy("patient_id", "service_date", "attending").agg(

@@ -16,6 +16,7 @@ from coursemill.plans.cohort import (
     treatment_charges,
     treatment_rows,
 )
+from coursemill.session import materialise
 from coursemill.workload import roles
 from coursemill.workload.registry import query
 
@@ -177,7 +178,8 @@ FROM course1 JOIN usual USING (pid, course) WHERE tbi <> 1 AND brachy <> 1""",
 )
 def spine_query(spark: SparkSession, sf: str) -> DataFrame:
     treatments = treatment_rows(roles.charges(spark, sf), roles.NON_TREATMENTS, roles.TECHNIQUE_RULES)
+    cohort = materialise(_cohort(spark, sf), "cohort")
     spine = course_spine(
-        _cohort(spark, sf), treatments, roles.people(spark, sf), roles.id_changes(spark, sf), roles.TECHNIQUE_RULES
+        cohort, treatments, roles.people(spark, sf), roles.id_changes(spark, sf), roles.TECHNIQUE_RULES
     )
     return _rounded(spine, _AMOUNTS).withColumnsRenamed({"start": "start_day", "end": "end_day"})

@@ -172,6 +172,18 @@ def fold_assign(spark: SparkSession, sf: str) -> DataFrame:
     return models.with_folds(roles.table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
 
 
+@query(
+    "fold_strata",
+    """WITH r AS (
+  SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('220|' || CAST(o_orderkey AS VARCHAR))) AS r FROM orders)
+SELECT o_orderkey, o_orderstatus, CAST((r - 1) % 5 AS INTEGER) AS fold FROM r""",
+)
+def fold_strata(spark: SparkSession, sf: str) -> DataFrame:
+    """Folds dealt within each outcome."""
+    orders = roles.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return models.stratified_folds(orders, ["o_orderkey"], "o_orderstatus")
+
+
 _PENALTY_COLUMNS = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
 
 
