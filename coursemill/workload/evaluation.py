@@ -150,9 +150,12 @@ distinct_scores AS (SELECT model, score, sum(label) AS pos, count(*) - sum(label
 points AS (
   SELECT model, score AS threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
          sum(pos) OVER (PARTITION BY model) AS m, sum(neg) OVER (PARTITION BY model) AS k
-  FROM distinct_scores WINDOW w AS (PARTITION BY model ORDER BY score DESC))
+  FROM distinct_scores WINDOW w AS (PARTITION BY model ORDER BY score DESC)),
+ends AS (
+  SELECT model, coalesce((threshold + lag(threshold) OVER (PARTITION BY model ORDER BY threshold)) / 2, '-infinity'::DOUBLE) AS threshold, tp, fp, m, k FROM points
+  UNION ALL SELECT DISTINCT model, 'infinity'::DOUBLE, 0, 0, m, k FROM points)
 SELECT model, threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(CAST(tp AS DOUBLE) / m, 6) AS sensitivity,
-       round(1 - CAST(fp AS DOUBLE) / k, 6) AS specificity FROM points""",
+       round(1 - CAST(fp AS DOUBLE) / k, 6) AS specificity FROM ends""",
 )
 def roc_compare(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.roc_points(_models(spark, sf), groups=["model"]).withColumns(
