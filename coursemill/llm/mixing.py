@@ -61,14 +61,13 @@ def leaf_budgets(
     ``weights`` maps a level to a column over the levels down to it (1 where not given); only the
     proportions among siblings matter. The root's budget is ``share`` of all tokens.
     """
-    total = leaves.agg(F.coalesce(F.sum("_tokens"), F.lit(0)).alias("_all"))
-    above = total.select((F.col("_all") * F.lit(float(share))).alias("_of"))
+    whole = float(share) * (leaves.agg(F.sum("_tokens")).first()[0] or 0)
+    above = None
     for depth, level in enumerate(levels):
         path = list(levels[: depth + 1])
         nodes = leaves.groupBy(*path).agg((F.sum("_tokens") * epochs).alias("_cap"))
         nodes = nodes.withColumn("_weight", F.greatest(weights.get(level, F.lit(1.0)).cast("double"), F.lit(0.0)))
-        # one row meets the top level; below it, each family meets its parent
-        nodes = nodes.join(above, path[:-1]) if depth else nodes.join(above)
+        nodes = nodes.withColumn("_of", F.lit(whole)) if above is None else nodes.join(above, path[:-1])
         shared = share_among(nodes, path[:-1] or [F.lit(0)], level)
         above = shared.select(*path, F.col("_budget").alias("_of"))
     return leaves.join(above.withColumnRenamed("_of", "_budget"), list(levels))
