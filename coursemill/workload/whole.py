@@ -22,12 +22,19 @@ def _all_sql() -> str:
     return f"(SELECT DISTINCT s.pid, s.course, family, feature FROM ({' UNION ALL '.join(parts)}) s JOIN ({twins['final_assembly']}) c ON c.pid = s.pid AND c.course = s.course)"
 
 
+# Written once per (session, data), shared by the queries below.
+_STORES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def full_store(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(final courses, long store of all families for these courses); each is computed and written once."""
-    known = queries()
-    courses = materialise(families.final_courses(spark, sf), "full-courses")
-    store = assemble.long_store([known[q](spark, sf).select("pid", "course", "family", "feature", "value") for q in _FAMILY_QUERIES])
-    return courses, materialise(assemble.eligible_features(store, courses), "full-store")
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        known = queries()
+        courses = materialise(families.final_courses(spark, sf), "full-courses")
+        store = assemble.long_store([known[q](spark, sf).select("pid", "course", "family", "feature", "value") for q in _FAMILY_QUERIES])
+        _STORES[key] = courses, materialise(assemble.eligible_features(store, courses), "full-store")
+    return _STORES[key]
 
 
 _SAFE = """names AS (SELECT DISTINCT family, feature FROM stored),
