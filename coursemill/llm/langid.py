@@ -7,8 +7,8 @@ smallest count that still meets the bound is read off a histogram of counts, so
 vocabulary is ever sorted in one task. Only that bounded model reaches the driver and is broadcast.
 
 A known word scores its log frequency in each language. An unknown one scores the mean of its known
-n-grams of the longest length that has any; without any it says nothing. A text's score is the
-softmax of the sums; the learned language with the largest sum wins, the first by name on ties.
+n-grams of the longest length that has any; without any it says nothing. What a word says against a
+language is bounded, so mixed texts go by the number of words. A text's score is the softmax of the sums; the learned language with the largest sum wins, the first by name on ties.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ GRAM_LENGTHS = (5, 4, 3, 2, 1)
 HELD_KEYS = 300_000
 REMEMBERED = 300_000
 UNDETERMINED = "und"
+#: The most that one word can say against a language, in natural logarithms, so that the words' number
+#: decides between languages in a mixed text and not how rare a few of them are.
+MOST_EVIDENCE = 4.0
 
 WORDS = re.compile(r"[^\W\d_]+")
 COUNTS = "lang string, length int, token string, n long"
@@ -182,7 +185,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             memory[word] = at = len(memory) + 1
             if at >= len(table):
                 table = np.concatenate([table, np.zeros_like(table)])
-            table[at] = v
+            table[at] = np.maximum(v - v.max(), -MOST_EVIDENCE)
             return at
 
         for batch in batches:
