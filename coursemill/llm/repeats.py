@@ -129,7 +129,8 @@ class Chunk:
         ids = table["doc_id"]
         self.known = ids.is_valid().to_numpy()
         self.docs = ids.fill_null(0).to_numpy()
-        self.rows = table["_row"].to_numpy()
+        # numbers of the rows' hashes within the chunk: the same on each visit, and short to send
+        self.rows = np.unique(table["_row"].to_numpy(), return_inverse=True)[1].astype(np.int64)
         raw = texts.buffers()
         self.offsets = np.frombuffer(raw[1], np.int64)[texts.offset : texts.offset + len(texts) + 1].copy()
         size = int(self.offsets[-1] - self.offsets[0]) if len(texts) else 0
