@@ -10,10 +10,11 @@ lies between their tokens are slots, the data of the page.
 A page's text is taken from the slots inside its article. Without an article element, it is the
 smallest template element that holds most of the slot text. Parts that are menus, adverts, forms,
 comments and the like by element or attribute never count. Template text (text nodes that nearly
-all pages share) is dropped outside article elements only: copies of one article must not turn
-the article into template.
+all pages share) is dropped inside article elements too. Occurrence vectors are over the distinct
+contents of a host: copies of one article are one page, whatever surrounds them, and do not turn the
+article into template.
 
-Occurrence vectors are compared by an order-free hash (xor over pages of a hash of page and count),
+Occurrence vectors are compared by an order-free hash (xor over contents of a hash of content and count),
 so they aggregate before and after the shuffle, and a host with most of the pages is no large group.
 A host's template has at most (tokens of a page / support) entries, whatever the number of pages.
 """
@@ -27,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +41,8 @@ LEAST_CLASS = 3
 LEAST_PAGES = 3
 #: Share of a page's slot text that its main element holds, where it has no article element.
 MAIN_SHARE = 0.6
-#: Tokens of different hosts that a task adds up before it hands them on.
-HELD_TOKENS = 200_000
+#: Pages whose tokens a task holds before it hands them on.
+HELD_PAGES = 500
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -188,45 +190,57 @@ def role_hash(token: Token) -> int | None:
     return xxhash.xxh64_intdigest(f"{token.role}{words}") >> 1 if words else None
 
 
-STATS = "host string, role long, pages long, occurrences long, vector long, place double"
+def content_hash(tokens: list[Token]) -> int:
+    """What makes pages copies of each other: the text of their main elements, or all text where there is none."""
+    lines = [(t.main and not t.dropped, " ".join(t.text.split())) for t in tokens if t.text is not None]
+    main = [words for inside, words in lines if inside and words]
+    return xxhash.xxh64_intdigest("\n".join(main or [words for _, words in lines if words])) >> 1
+
+
+PAGES = "host string, content long, roles array<long>, counts array<int>, places array<int>"
 
 
 def page_statistics(pages: DataFrame) -> DataFrame:
     """Per host and token: pages, occurrences, a hash of the occurrence vector and the mean first place.
 
-    The role -1 counts the pages of a host.
+    Pages of one host with equal content (see ``content_hash``) count once. The role -1 counts the pages of a host.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, int], list] = {}
-
-        def emit() -> pd.DataFrame:
-            return pd.DataFrame([(*k, *v) for k, v in held.items()], columns=["host", "role", "pages", "occurrences", "vector", "place"])
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, key, source in zip(batch["host"], batch["key"], batch["html"]):
-                counts: dict[int, list] = {-1: [1, 0]}
-                for place, token in enumerate(tokenise(source)):
-                    role = role_hash(token)
-                    if role is not None:
-                        counts.setdefault(role, [0, place])[0] += 1
-                for role, (n, place) in counts.items():
-                    own = held.setdefault((host, role), [0, 0, 0, 0.0])
-                    own[0] += 1
-                    own[1] += n
-                    own[2] ^= xxhash.xxh64_intdigest(f"{key}:{n}") >> 1
-                    own[3] += place
-            if len(held) > HELD_TOKENS:
-                yield emit()
-                held = {}
-        yield emit()
-
-    partial = pages.select("host", "key", "html").mapInPandas(run, STATS)
-    return partial.groupBy("host", "role").agg(
-        F.sum("pages").alias("pages"),
-        F.sum("occurrences").alias("occurrences"),
-        F.expr("bit_xor(vector)").alias("vector"),
-        (F.sum("place") / F.sum("pages")).alias("place"),
+            for start in range(0, batch.num_rows, HELD_PAGES):
+                part = batch.slice(start, HELD_PAGES)
+                contents, sizes, roles, numbers, places = [], [0], [], [], []
+                for source in part.column("html").to_pylist():
+                    tokens = tokenise(source)
+                    counts: dict[int, list[int]] = {-1: [1, 0]}
+                    for place, token in enumerate(tokens):
+                        role = role_hash(token)
+                        if role is not None:
+                            counts.setdefault(role, [0, place])[0] += 1
+                    contents.append(content_hash(tokens))
+                    sizes.append(len(counts))
+                    roles.extend(counts)
+                    numbers.extend(n for n, _ in counts.values())
+                    places.extend(place for _, place in counts.values())
+                offsets = pa.array(np.cumsum(sizes), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in ((roles, pa.int64()), (numbers, pa.int32()), (places, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("host"), pa.array(contents, pa.int64()), *lists], ["host", "content", "roles", "counts", "places"]
+                )
+
+    seen = pages.select("host", "html").mapInArrow(run, PAGES)
+    distinct = seen.groupBy("host", "content").agg(F.min(F.struct("roles", "counts", "places")).alias("page"))
+    tokens = distinct.select("host", "content", F.explode(F.arrays_zip("page.roles", "page.counts", "page.places")).alias("token"))
+    return (
+        tokens.select("host", "content", F.col("token.roles").alias("role"), F.col("token.counts").alias("n"), F.col("token.places").alias("place"))
+        .groupBy("host", "role")
+        .agg(
+            F.count(F.lit(1)).alias("pages"),
+            F.sum("n").alias("occurrences"),
+            F.bit_xor(F.xxhash64("content", "n")).alias("vector"),
+            F.avg("place").alias("place"),
+        )
     )
 
 
@@ -295,12 +309,12 @@ def _blocks(tokens: list[Token], taken: list[bool]) -> str:
 def extract(source: str, template: Template) -> str:
     """The page's main text: one line per block."""
     tokens = tokenise(source)
-    if any(t.main and not t.dropped and t.text and t.text.strip() for t in tokens):
-        return _blocks(tokens, [t.main and not t.dropped for t in tokens])
     roles = [role_hash(t) for t in tokens]
     valid = valid_classes(roles, template)
     in_template = [template.kinds.get(r) in valid for r in roles]
     slots = [t.text is not None and not t.dropped and not f for t, f in zip(tokens, in_template)]
+    if any(t.main and not t.dropped and t.text and t.text.strip() for t in tokens):
+        return _blocks(tokens, [s and t.main for t, s in zip(tokens, slots)])
     if not any(s and t.text.strip() for t, s in zip(tokens, slots)):
         return _blocks(tokens, [not t.dropped for t in tokens])
     inside: dict[int, int] = {}
@@ -333,7 +347,7 @@ def main_texts(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
         F.coalesce("html", F.lit("")).alias("html"),
         host_of("url").alias("host"),
     )
-    known = materialise(templates(page_statistics(held.withColumn("key", F.coalesce("page_id", F.lit(-1)))), support), "templates")
+    known = materialise(templates(page_statistics(held), support), "templates")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[str, Template] = {}

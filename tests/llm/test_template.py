@@ -48,3 +48,16 @@ def test_classes_must_be_ordered_and_nested():
     assert tp.valid_classes([10, 20, 21, 22, 20, 21, 22, 11, 12], t) == {1, 2}
     assert tp.valid_classes([10, 20, 11, 21, 12, 22], t) == {1}  # spans cross
     assert tp.valid_classes([20, 21, 22, 22, 21, 20, 10, 11, 12], t) == {1}  # order changes
+
+
+def test_template_text_inside_articles_and_copies(spark):
+    def post(i, words):
+        return f"<body><nav>Menu</nav><article><div>Share this story</div><h1>On {words}</h1><p>About {words}.</p><p>Read more</p></article><p>Seen {i} times</p></body>"
+
+    rows = [(i, "http://posts/", post(i, f"w{i}")) for i in range(5)] + [(0, "http://posts/", post(0, "w0"))]  # a repeated row
+    rows += [(10 + i, "http://copies/", post(i, "same")) for i in range(6)]
+    got = {r.page_id: r.text for r in tp.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i] == f"On w{i}\nAbout w{i}."
+    for i in range(6):  # one content only: no template
+        assert got[10 + i] == "Share this story\nOn same\nAbout same.\nRead more"
