@@ -1,13 +1,16 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in column expressions only.
 
-A text is cut into paragraphs, its lines, and each distinct one is hashed. A sketch of m cells adds every digest to one cell in each of three equal parts of the table; a cell has
-a count, the xor of its digests and the xor of their checksums. Only cells in use are kept, in order.
+A text is cut into paragraphs, its lines or pieces of them, and each distinct one is hashed. Pieces end
+behind sentence marks and behind words with fixed endings, so that a long text of one line has several and
+an edit changes only those it touches. A sketch of m cells adds every digest to one cell in each of three
+equal parts of the table; a cell has a count, the xor of its digests and the xor of their checksums. Only
+cells in use are kept, in order.
 
 Subtracting the cells of two versions cancels what they share. Peeling then finds cells with a single
 digest left (its checksum fits), takes it out of its three cells, and goes on until nothing is left:
 the taken digests are the paragraphs that differ. If cells remain, the versions differ in more
-paragraphs than the sketch can hold, and larger sketches of both are tried; should the last one fail
-too, the digest sets are compared directly. The likeness of two fingerprints is shared over all
+paragraphs than the sketch can hold, and larger sketches of both are tried up to a size; should the last
+one fail too, the digest sets are compared directly, which gives the same number. The likeness of two fingerprints is shared over all
 distinct paragraphs, which the sizes and the number of recovered digests give exactly.
 
 Everything of one document happens in its row. No row meets another except for ``with_next``, which
@@ -27,7 +30,11 @@ CELLS = 30
 #: Retries have RETRY cells per possible difference, then twice as many.
 RETRY = 1.8
 PEEL_ROUNDS = 24
+#: Retries that would need more cells are left out, as comparing the digest sets gives the same number.
+MOST_CELLS = 100
 PARAGRAPH_END = r"\n+"
+#: Ends of pieces of lines: white space behind a sentence mark with up to three other marks, or behind fixed word endings.
+PIECE_END = r"\n+|(?<=[.!?]\W{0,3})\s+|(?<=[a-z][dgmpz]|[%#])\s+"
 
 CELL = "struct<cell:int,n:int,key:bigint,check:bigint>"
 
@@ -37,9 +44,9 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def paragraph_digests(text: Column) -> Column:
+def paragraph_digests(text: Column, end: str = PARAGRAPH_END) -> Column:
     """Distinct 64-bit digests of the non-empty paragraphs; none for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END)
+    parts = F.split(F.coalesce(text, F.lit("")), end)
     return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
@@ -105,6 +112,16 @@ def sketch(digests: Column, cells: Column) -> Column:
     return _folded(F.flatten(F.transform(digests, lambda d: _entries(d, F.lit(1), cells))))
 
 
+def difference_sketch(a: Column, b: Column, cells: Column) -> Column:
+    """The same as ``subtracted(sketch(a, cells), sketch(b, cells))``, added up once."""
+    return _folded(
+        F.concat(
+            F.flatten(F.transform(a, lambda d: _entries(d, F.lit(1), cells))),
+            F.flatten(F.transform(b, lambda d: _entries(d, F.lit(-1), cells))),
+        )
+    )
+
+
 def subtracted(a: Column, b: Column) -> Column:
     negative = F.transform(
         b, lambda c: F.struct(c["cell"].alias("cell"), (-c["n"]).alias("n"), c["key"].alias("key"), c["check"].alias("check"))
@@ -139,9 +156,9 @@ def peeled(cells: Column, size: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(PEEL_ROUNDS)), start, round_)
 
 
-def _difference(a: Column, b: Column, size: Column) -> Column:
-    """How many digests two sketches of one size differ in; null if they can't be peeled to the end."""
-    return _let(peeled(subtracted(a, b), size), lambda s: F.when(F.size(s["cells"]) == 0, F.size(s["found"])))
+def _difference(cells: Column, size: Column) -> Column:
+    """How many digests a subtracted sketch of ``size`` cells holds; null if it can't be peeled to the end."""
+    return _let(peeled(cells, size), lambda s: F.when(F.size(s["cells"]) == 0, F.size(s["found"])))
 
 
 def likeness(digests_a: Column, digests_b: Column, cells_a: Column, cells_b: Column, cells: int = CELLS) -> Column:
@@ -150,10 +167,10 @@ def likeness(digests_a: Column, digests_b: Column, cells_a: Column, cells_b: Col
     first = (F.ceil(both * F.lit(RETRY) / 3) * 3).cast("int") + F.lit(cells)
 
     def retry(size: Column) -> Column:
-        return _let(size, lambda m: _difference(sketch(digests_a, m), sketch(digests_b, m), m))
+        return _let(size, lambda m: F.when(m <= MOST_CELLS, _difference(difference_sketch(digests_a, digests_b, m), m)))
 
     exact = F.size(F.array_except(digests_a, digests_b)) + F.size(F.array_except(digests_b, digests_a))
-    differ = F.coalesce(_difference(cells_a, cells_b, F.lit(cells)), retry(first), retry(first * 2), exact)
+    differ = F.coalesce(_difference(subtracted(cells_a, cells_b), F.lit(cells)), retry(first), retry(first * 2), exact)
     return F.when(both == 0, F.lit(1.0)).otherwise(_let(differ, lambda d: (both - d) / (both + d)))
 
 
@@ -210,13 +227,14 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return found.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("next_text")).alias("next_text"))
 
 
-def fingerprints(docs: DataFrame, cells: int = CELLS) -> DataFrame:
+def fingerprints(docs: DataFrame, cells: int = CELLS, end: str = PARAGRAPH_END) -> DataFrame:
     """Fingerprints of each text of (doc_id, text), of its edited text, and their likenesses.
 
     The edit replaces the last floor(n / 2) of n code points by as many (or all) first ones of the
     next text (see `with_next`). A null text is empty; an empty text has the fingerprint ``0:``. Two
     empty texts are alike (1), an empty and another text are not (0). Repeated rows are separate
-    documents. Other columns are ignored; an empty table gives an empty result.
+    documents. ``end`` is the pattern that paragraphs end with. Other columns are ignored; an empty
+    table gives an empty result.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(
@@ -228,9 +246,9 @@ def fingerprints(docs: DataFrame, cells: int = CELLS) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        paragraph_digests(F.col("text")).alias("own"),
-        paragraph_digests(F.col("edited")).alias("changed"),
-        paragraph_digests(F.col("next_text")).alias("following"),
+        paragraph_digests(F.col("text"), end).alias("own"),
+        paragraph_digests(F.col("edited"), end).alias("changed"),
+        paragraph_digests(F.col("next_text"), end).alias("following"),
     )
     sketched = hashed.withColumns(
         {f"{c}_cells": sketch(F.col(c), F.lit(cells)) for c in ("own", "changed", "following")}

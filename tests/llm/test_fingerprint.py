@@ -52,3 +52,30 @@ def test_peeling_names_the_differing_digests(spark):
     state = fp.peeled(fp.subtracted(fp.sketch(F.col("a"), size), fp.sketch(F.col("b"), size)), size)
     found = df.select(state.alias("s")).first().s
     assert not found["cells"] and sorted((f["key"], f["sign"]) for f in found["found"]) == [(1, 1), (2, 1), (5, -1)]
+
+
+def test_texts_of_one_line_are_like_their_edited_text(spark, tmp_path):
+    from coursemill.llm.op02 import op2
+
+    sentences = " ".join(f"Sentence {i} says so." for i in range(40))
+    plain = " ".join(f"word{i} bed" for i in range(40))
+    marked = " ".join(f"Thing{i}.%%% and&&& more###" for i in range(40))
+    rows = [(1, "Another one. " * 30), (2, marked), (3, plain), (4, sentences)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op2(spark, str(tmp_path)).collect()}
+    for doc_id in (2, 3, 4):  # half of each text is kept
+        assert 0.15 < got[doc_id].near_edited < 0.6
+    first, edited = sentences.replace(". ", ".\n").split("\n"), (sentences[: len(sentences) - len(sentences) // 2] + plain[: len(sentences) // 2])
+    kept = [s for s in first if s in edited]
+    added = [w + " bed" for w in edited[len(sentences) - len(sentences) // 2 :].split(" bed")][1:-1]
+    assert abs(got[4].near_edited - len(kept) / (len(first) + 1 + len(added) + (not edited.endswith(" bed")))) < 0.03
+
+
+def test_large_sketches_and_direct_comparison_agree(spark, monkeypatch):
+    rows = [(i, "\n".join(f"line {j}" for j in range(i * 13, i * 13 + 90))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for most in (0, 1200):
+        monkeypatch.setattr(fp, "MOST_CELLS", most)
+        found.append(sorted((r.doc_id, r.near_edited, r.near_next) for r in fp.fingerprints(docs).collect()))
+    assert found[0] == found[1] and abs(found[0][3][2] - 77 / 103) < 1e-9
