@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -19,13 +19,14 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coursemill.learning import lasso, sparse, trees
 from coursemill.learning.evaluate import auc
 from coursemill.operators.ranking import shuffled_rank, uniform_key
 from coursemill.operators.rollups import top_rows
@@ -98,7 +99,7 @@ def forest(trees: int = FOREST_TREES, depth: int = 10, seed: int = FOREST_SEED,
 
 def gini_importance(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
     """Importance by impurity (gain) per feature; as many rows as features."""
-    values = model.featureImportances.toArray()
+    values = model.gini_importance() if isinstance(model, trees.BaggedForest) else model.featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(names, values)]
     return spark.createDataFrame(rows, "feature string, importance double")
 
@@ -108,32 +109,17 @@ def permutation_importance(
 ) -> DataFrame:
     """Accuracy lost when one feature's values are exchanged between rows; all features by default.
 
-    Two repeatable random ranks pair every row with exactly one other row, so a single shuffle join
-    gives all features their permutation. A row is scored again only for the positions in which it
-    differs from its partner, which are few in sparse rows; in all others its prediction stands.
+    ``model`` is a fitted forest or ``trees.BaggedForest``; ``df`` has sparse rows (``indices``, ``values``) or ``features``
+    vectors. See ``trees.permuted_losses``.
     """
-    keys = list(keys)
+    rows = df if "indices" in df.columns else sparse.from_vectors(df)
+    spark = df.sparkSession
+    nodes = model.nodes(spark) if isinstance(model, trees.BaggedForest) else trees.forest_nodes(spark, [model])
+    changes = trees.permuted_losses(nodes, rows, len(names), keys, seed)
     positions = list(range(len(names))) if positions is None else list(positions)
-    own = shuffled_rank(model.transform(df).select(*keys, "label", "features", "prediction"), keys, seed, "_rank")
-    donor = shuffled_rank(df.select(*keys, F.col("features").alias("_donor")), keys, seed + 1, "_rank")
-    paired = own.join(donor.select("_rank", "_donor"), "_rank").select(
-        "label",
-        (F.col("prediction") == F.col("label")).cast("int").alias("_was"),
-        vector_to_array("features").alias("_x"),
-        vector_to_array("_donor").alias("_y"),
-    )
-    differs = F.filter(F.lit(positions), lambda i: F.get(F.col("_x"), i) != F.get(F.col("_y"), i))
-    tested = paired.select("*", F.explode(differs).alias("position"))
-    swapped = F.transform("_x", lambda x, i: F.when(i == F.col("position"), F.get(F.col("_y"), i)).otherwise(x))
-    again = model.transform(tested.select("label", "_was", "position", array_to_vector(swapped).alias("features")))
-    change = F.sum((F.col("prediction") == F.col("label")).cast("int") - F.col("_was"))
-    changes = again.groupBy("position").agg(change.alias("_change"))
     n = df.agg(F.count(F.lit(1))).scalar()
-    spark = df.sparkSession
     listed = spark.createDataFrame([(p, names[p]) for p in positions], "position int, feature string")
-    return listed.join(changes, "position", "left").select(
-        "feature", (-F.coalesce("_change", F.lit(0)) / n).alias("importance")
-    )
+    return listed.join(changes, "position", "left").select("feature", (F.coalesce("lost", F.lit(0)) / n).alias("importance"))
 
 
 # --- L1 logistic regression -------------------------------------------------------------------
@@ -156,45 +142,68 @@ def penalty_path(df: DataFrame, steps: int = 100, ratio: float = 1e-3) -> list[f
     return [largest * ratio ** (i / (steps - 1)) for i in range(steps)] if steps > 1 else [largest]
 
 
+@dataclass(frozen=True)
+class Lasso:
+    """A cross-validated path: fits at every penalty, the mean AUC of held-out folds, and the step that was chosen."""
+
+    path: lasso.Path
+    table: DataFrame  # step, penalty, auc, se, chosen
+    chosen: int
+
+    @property
+    def penalty(self) -> float:
+        return float(self.path.penalties[self.chosen])
+
+    @property
+    def intercept(self) -> float:
+        return float(self.path.intercepts[self.chosen, 0])
+
+    @property
+    def coefficients(self) -> np.ndarray:
+        return self.path.coefficients[self.chosen, 0]
+
+    def score(self, df: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
+        """(keys, label, score) of sparse rows."""
+        return lasso.scored(df, self.path, [self.chosen], keys=list(keys)).select(*keys, "label", "score")
+
+
 def lasso_path(
     df: DataFrame,
+    width: int,
     penalties: Sequence[float] | None = None,
+    steps: int = 100,
+    ratio: float = 0.05,
     folds: int = 10,
+    keys: Iterable[str] = KEYS,
     seed: int = FOREST_SEED,
-    parallelism: int = 4,
-    max_iter: int = 100,
-) -> tuple[Model, DataFrame, float]:
-    """Cross-validated L1 path; the penalty is the largest within one standard error of the best.
+) -> Lasso:
+    """Cross-validated L1 path over sparse rows (``label``, ``indices``, ``values``); see ``learning.lasso``.
 
-    Returns (model refitted at that penalty, path table, penalty).
+    All folds, dealt within each label, go down the path together with the fit to all rows. The chosen penalty is the
+    largest whose mean AUC lies within one standard error of the best.
     """
-    penalties = list(penalties) if penalties is not None else penalty_path(df)
-    estimator = LogisticRegression(elasticNetParam=1.0, maxIter=max_iter, standardization=True)
-    grid = ParamGridBuilder().addGrid(estimator.regParam, penalties).build()
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(numBins=0),
-        numFolds=folds,
-        seed=seed,
-        parallelism=parallelism,
-    ).fit(df)
-    means = [float(m) for m in search.avgMetrics]
-    # stdMetrics are population deviations over the folds
-    errors = [float(s) / math.sqrt(max(1, folds - 1)) for s in search.stdMetrics]
-    best = max(range(len(means)), key=lambda i: means[i])
-    chosen = max(p for p, m in zip(penalties, means) if m >= means[best] - errors[best])
+    folded = materialise(stratified_folds(df, keys, "label", folds, seed), "lasso-folds")
+    rows = lasso.packed(folded, width, folds)
+    if penalties is None:
+        penalties = lasso.penalties_for(lasso.moments(rows), steps, ratio)
+    path = lasso.fit_path(rows, penalties)
+    held = materialise(lasso.scored(folded, path, range(len(path.penalties)), "fold", list(keys)).select("label", "fold", "step", "score"), "lasso-held")
+    per_fold = auc(held, groups=["fold", "step"]).groupBy("step").agg(
+        F.avg("auc").alias("auc"), (F.stddev_samp("auc") / math.sqrt(folds)).alias("se")
+    )
+    log = {r["step"]: (r["auc"], r["se"] or 0.0) for r in per_fold.collect()}
+    best = max(log, key=lambda i: log[i][0])
+    chosen = min(i for i in log if log[i][0] >= log[best][0] - log[best][1])
     table = df.sparkSession.createDataFrame(
-        [(p, m, e, p == chosen) for p, m, e in zip(penalties, means, errors)],
-        "penalty double, auc double, se double, chosen boolean",
+        [(i, float(path.penalties[i]), *log[i], i == chosen) for i in sorted(log)], "step int, penalty double, auc double, se double, chosen boolean"
     )
-    model = estimator.copy({estimator.regParam: chosen}).fit(df)
-    return model, table, chosen
+    return Lasso(path, table, chosen)
 
 
 def coefficient_table(spark: SparkSession, model, names: Sequence[str], nonzero: bool = True) -> DataFrame:
     rows = [("(Intercept)", float(model.intercept))]
-    rows += [(n, float(c)) for n, c in zip(names, model.coefficients.toArray()) if c != 0 or not nonzero]
+    values = model.coefficients if isinstance(model.coefficients, np.ndarray) else model.coefficients.toArray()
+    rows += [(n, float(c)) for n, c in zip(names, values) if c != 0 or not nonzero]
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
@@ -202,48 +211,45 @@ def coefficient_table(spark: SparkSession, model, names: Sequence[str], nonzero:
 
 
 def fourier_features(df: DataFrame, width: int, dimensions: int, gamma: float | None = None, seed: int = MODEL_SEED, source: str = "features", out: str = "fourier") -> DataFrame:
-    """Random Fourier features: inner products approximate the kernel exp(-gamma |x - y|^2).
-
-    ``width`` is the input length. The projection is a dense matrix product, for which Spark has no
-    built-in expression: Arrow batches go through one numpy product each.
-    """
+    """Random Fourier features: inner products approximate the kernel exp(-gamma |x - y|^2). ``width`` is the input length."""
     gamma = gamma if gamma is not None else 1.0 / width
-    draw = np.random.default_rng(seed)
-    weights = draw.normal(0.0, math.sqrt(2 * gamma), (width, dimensions))
-    shifts = draw.uniform(0.0, 2 * math.pi, dimensions)
-    scale = math.sqrt(2.0 / dimensions)
-
-    @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        block = np.stack(x.to_numpy()) if len(x) else np.empty((0, width))
-        return pd.Series(list(np.cos(block @ weights + shifts) * scale))
-
-    return df.withColumn(out, array_to_vector(project(vector_to_array(source))))
+    lifted = sparse.fourier_rows(sparse.from_vectors(df, source), width, dimensions, gamma, seed, out=out)
+    return lifted.withColumn(out, array_to_vector(out))
 
 
 class KernelMachine:
-    """Class-weighted linear SVM on scaled random Fourier features with a logistic (Platt) link."""
+    """Class-weighted linear SVM on scaled random Fourier features with a logistic (Platt) link.
+
+    Takes sparse rows (``indices``, ``values`` and their ``width``), or ``features`` vectors, which become such.
+    Columns are centred and scaled inside the projection, so no row is laid out before it.
+    """
 
-    def __init__(self, dimensions: int = 64, gamma: float | None = None, weights: dict[int, float] | None = None, max_iter: int = 50, seed: int = MODEL_SEED, platt_folds: int = 3):
+    def __init__(self, dimensions: int = 512, gamma: float | None = None, weights: dict[int, float] | None = None, max_iter: int = 50, seed: int = MODEL_SEED, platt_folds: int = 3):
         self.dimensions, self.gamma, self.seed = dimensions, gamma, seed
         self.weights = weights or CLASS_WEIGHTS
         self.max_iter, self.platt_folds = max_iter, platt_folds
 
-    def _lift(self, df: DataFrame) -> DataFrame:
-        scaled = self.scaler.transform(df)
-        return fourier_features(scaled, self.width, self.dimensions, self.gamma, self.seed, "_scaled")
+    @staticmethod
+    def _rows(df: DataFrame) -> DataFrame:
+        return df if "indices" in df.columns else sparse.from_vectors(df)
+
+    def _lift(self, rows: DataFrame) -> DataFrame:
+        gamma = self.gamma if self.gamma is not None else 1.0 / self.width
+        lifted = sparse.fourier_rows(rows, self.width, self.dimensions, gamma, self.seed, self.deviation, self.mean)
+        return lifted.withColumn("fourier", array_to_vector("fourier"))
 
     def _margin(self, machine, lifted: DataFrame) -> DataFrame:
         margin = machine.transform(lifted).withColumn("_margin", vector_to_array("_raw")[1])
         return VectorAssembler(inputCols=["_margin"], outputCol="_m").transform(margin)
 
-    def fit(self, df: DataFrame, keys: Iterable[str] = KEYS) -> "KernelMachine":
-        self.scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True).fit(df)
-        self.width = len(self.scaler.mean)
+    def fit(self, df: DataFrame, keys: Iterable[str] = KEYS, width: int | None = None) -> "KernelMachine":
+        self.width = width if width is not None else df.select(F.max(F.size(vector_to_array("features")))).first()[0]
+        rows = self._rows(df)
+        self.mean, self.deviation = sparse.column_moments(rows, self.width)
         weight = F.when(F.col("label") == 1, float(self.weights[1])).otherwise(float(self.weights[0]))
-        lifted = with_folds(self._lift(df).withColumn("_weight", weight), keys, self.platt_folds, self.seed)
+        folded = with_folds(rows, keys, self.platt_folds, self.seed).withColumn("_weight", weight)
         # Read by every fold's fit and scoring: project once.
-        lifted = materialise(lifted.select("label", "fourier", "_weight", "fold"), "fourier")
+        lifted = materialise(self._lift(folded.select("label", "_weight", "fold", "indices", "values")), "fourier")
         svc = LinearSVC(
             featuresCol="fourier", weightCol="_weight", rawPredictionCol="_raw", predictionCol="_class", maxIter=self.max_iter
         )
@@ -258,8 +264,8 @@ class KernelMachine:
         return self
 
     def score(self, df: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
-        margins = self._margin(self.machine, self._lift(df)).select(*keys, "label", "_m")
-        return score(self.link, margins, keys)
+        margins = self._margin(self.machine, self._lift(self._rows(df).select(*keys, "label", "indices", "values")))
+        return score(self.link, margins.select(*keys, "label", "_m"), keys)
 
 
 # --- boosted trees ----------------------------------------------------------------------------
@@ -299,9 +305,11 @@ def grid_search(
     folds: int = FOLDS,
     seed: int = MODEL_SEED,
     parallelism: int = 4,
+    keys: Iterable[str] = KEYS,
 ) -> DataFrame:
-    """Cross-validated AUC per setting, one row per grid point."""
+    """Cross-validated AUC per setting, one row per grid point; folds are dealt within each label."""
     checkpoint_ready(df.sparkSession)
+    folded = materialise(stratified_folds(df, keys, "label", folds, seed), "grid-folds")
     estimator = boosted_trees(rounds, rate, seed=seed)
     strategy = {c: "all" if c >= 1 else str(c) for c in columns}
     grid = (
@@ -316,9 +324,9 @@ def grid_search(
         estimatorParamMaps=grid,
         evaluator=BinaryClassificationEvaluator(numBins=0),
         numFolds=folds,
-        seed=seed,
+        foldCol="fold",
         parallelism=parallelism,
-    ).fit(df)
+    ).fit(folded)
     back = {v: k for k, v in strategy.items()}
     rows = [
         (
@@ -335,19 +343,13 @@ def grid_search(
 def scores_by_iteration(model, df: DataFrame, at: Iterable[int] | None = None) -> DataFrame:
     """``(label, iter, score)`` after each listed number of rounds.
 
-    Every tree is evaluated once per row; scores are prefix sums over the trees.
+    One transform finds every tree's leaf; scores are prefix sums over the leaves' values.
     """
-    trees, weights = model.trees, model.treeWeights
-    stops = sorted(set(at)) if at is not None else list(range(1, len(trees) + 1))
-    scored = df.select("label", "features")
-    for i, tree in enumerate(trees):
-        scored = tree.copy({tree.getParam("predictionCol"): f"_t{i}"}).transform(scored)
-    parts = scored.select("label", F.array(*[F.col(f"_t{i}") * F.lit(w) for i, w in enumerate(weights)]).alias("_t"))
-    margin = lambda n: F.aggregate(F.slice("_t", 1, n), F.lit(0.0), lambda a, v: a + v)
-    points = F.explode(F.array(*[F.struct(F.lit(n).alias("iter"), margin(n).alias("m")) for n in stops])).alias("p")
-    return parts.select("label", points).select(
-        "label", "p.iter", (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("p.m")))).alias("score")
-    )
+    stops = sorted(set(at)) if at is not None else list(range(1, len(model.trees) + 1))
+    margins = trees.margins_by_iteration(model, df, stops, ["label"])
+    points = margins.select("label", F.posexplode("margins").alias("_i", "_m"))
+    number = F.get(F.lit(stops), F.col("_i")).alias("iter")
+    return points.select("label", number, (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("_m")))).alias("score"))
 
 
 def learning_curve(

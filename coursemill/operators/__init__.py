@@ -1,4 +1,4 @@
-from coursemill.operators.intervals import lookback_join, point_in_interval
+from coursemill.operators.intervals import lookback_join, point_in_any_interval, point_in_interval
 from coursemill.operators.joins import (
     attach_surrogate,
     backfill,
@@ -22,6 +22,6 @@ __all__ = [
     "Measure", "attach_surrogate", "backfill", "by_day", "cumulative_totals", "drop_members",
     "explode_codes", "first_by_order", "hash_split", "keep_members", "long_features",
     "longest_list", "lookback_join", "map_values", "modal_value", "pivot_indicators",
-    "point_in_interval", "prefixed", "remap_ids", "rollup_plans", "shuffled_rank",
+    "point_in_any_interval", "point_in_interval", "prefixed", "remap_ids", "rollup_plans", "shuffled_rank",
     "timeline_profile", "top_rows", "uniform_key",
 ]

@@ -58,28 +58,36 @@ def map_codes(
     replaced by 9. With ``keep_unmatched`` a code without a match keeps its last padded spelling as
     the target; otherwise its rows are dropped. ``crosswalk`` has one row per ``source`` code.
     """
-    spelled = df.withColumn("_s0", F.col(code))
-    spelled = spelled.withColumn("_s1", F.when(F.length("_s0") == 3, F.concat("_s0", F.lit("0"))).otherwise(F.col("_s0")))
-    spelled = spelled.withColumn("_s2", F.when(F.length("_s1") == 4, F.concat("_s1", F.lit("0"))).otherwise(F.col("_s1")))
-    tries = ["_s0", "_s1", "_s2"]
+    first = F.col("_code")
+    padded = F.when(F.length(first) == 3, F.concat(first, F.lit("0"))).otherwise(first)
+    full = F.when(F.length(padded) == 4, F.concat(padded, F.lit("0"))).otherwise(padded)
+    tries = [first, padded, full]
     if last_nine:
-        closing = F.concat(F.expr("left(_s2, length(_s2) - 1)"), F.lit("9"))
-        spelled = spelled.withColumn("_s3", F.when(F.length("_s2") > 3, closing).otherwise(F.col("_s2")))
-        tries.append("_s3")
-    lookup = crosswalk.select(F.col(source).alias("_source"), F.col(target).alias("_target"))
-    for spelling in tries:
-        found = lookup.withColumnsRenamed({"_source": f"{spelling}_key", "_target": f"{spelling}_hit"})
-        spelled = spelled.join(found, F.col(spelling) == F.col(f"{spelling}_key"), "left").drop(f"{spelling}_key")
-    hits = [F.col(f"{t}_hit") for t in tries]
-    final = F.coalesce(*[F.when(h.isNotNull(), F.col(t)) for t, h in zip(tries, hits)], F.col("_s2"))
-    mapped = F.coalesce(*hits, *([F.col("_s2")] if keep_unmatched else []))
+        closing = F.concat(F.substring(full, F.lit(1), F.length(full) - 1), F.lit("9"))
+        tries.append(F.when(F.length(full) > 3, closing).otherwise(full))
+    lookup = crosswalk.select(F.col(source).alias("_spelling"), F.col(target).alias("_entry")).where("_entry IS NOT NULL")
+    found = _first_entry(df, code, [F.struct(F.lit(i).alias("turn"), t.alias("_spelling")) for i, t in enumerate(tries)], lookup)
+    joined = df.join(found, F.col(code) == F.col("_code"), "left").drop("_code").withColumn("_code", F.col(code))
+    mapped = F.coalesce("_hit._entry", *([full] if keep_unmatched else []))
     return (
-        spelled.withColumns({"code_final": final, "code_mapped": mapped})
-        .drop(*tries, *[f"{t}_hit" for t in tries])
+        joined.withColumns({"code_final": F.coalesce("_hit._spelling", full), "code_mapped": mapped})
+        .drop("_hit", "_code")
         .where(F.col("code_mapped").isNotNull())
     )
 
 
+def _first_entry(df: DataFrame, code: str, tries: list[Column], lookup: DataFrame) -> DataFrame:
+    """(_code, _hit): the entry of the first try that ``lookup`` lists, for each distinct code that has one.
+
+    ``tries`` are structs of ``turn`` and lookup columns, in terms of ``_code``. All tries meet the dictionary in one
+    join, of the distinct codes only.
+    """
+    keys = [c for c in lookup.columns if c != "_entry"]
+    distinct = df.select(F.col(code).alias("_code")).distinct()
+    candidates = distinct.select("_code", F.inline(F.array(*tries)))
+    return candidates.join(lookup, keys).groupBy("_code").agg(F.min_by(F.struct(*keys, "_entry"), "turn").alias("_hit"))
+
+
 def roll_up(code: Column) -> Column:
     """First three characters, except the category that keeps its full code."""
     return F.when(code.startswith(FULL_LENGTH_CATEGORY), code).otherwise(F.substring(code, 1, 3))
@@ -116,15 +124,13 @@ def describe_codes(
 
     ``terms`` and ``short_terms`` are ``(code, short_desc)`` with one row per code.
     """
-    lookups = [(terms, F.col(code)), (terms, F.substring(code, 1, 4))]
-    if short_terms is not None:
-        lookups.append((short_terms, F.col(code)))
-    joined = df
-    for i, (dictionary, spelling) in enumerate(lookups):
-        found = dictionary.select(F.col("code").alias("_key"), F.col("short_desc").alias(f"_d{i}"))
-        joined = joined.join(found, spelling == F.col("_key"), "left").drop("_key")
-    found_at = [f"_d{i}" for i in range(len(lookups))]
-    joined = joined.withColumn("description", F.coalesce(*found_at)).drop(*found_at)
+    lists = [terms.withColumn("_list", F.lit("terms"))] + ([] if short_terms is None else [short_terms.withColumn("_list", F.lit("short"))])
+    entries = [d.select("_list", F.col("code").alias("_spelling"), F.col("short_desc").alias("_entry")).where("_entry IS NOT NULL") for d in lists]
+    lookup = entries[0] if len(entries) == 1 else entries[0].unionByName(entries[1])
+    tries = [("terms", F.col("_code")), ("terms", F.substring("_code", 1, 4)), ("short", F.col("_code"))]
+    turns = [F.struct(F.lit(i).alias("turn"), F.lit(name).alias("_list"), t.alias("_spelling")) for i, (name, t) in enumerate(tries)]
+    found = _first_entry(df, code, turns, lookup)
+    joined = df.join(found, F.col(code) == F.col("_code"), "left").withColumn("description", F.col("_hit._entry")).drop("_code", "_hit")
     if unmatched is None:
         return joined.where(F.col("description").isNotNull())
     return joined.withColumn("description", F.coalesce("description", F.lit(unmatched)))

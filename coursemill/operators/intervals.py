@@ -4,6 +4,10 @@ An equi-join on the entity alone would meet every event of an entity with each o
 before the dates are compared. Here the time axis is cut into fixed buckets, intervals are repeated
 once per bucket they touch and a point has exactly one bucket, so that only near pairs meet, no pair
 appears twice and the rows of a hot entity spread over as many tasks as it has buckets.
+
+Intervals of any length, open-ended ones too, are cut into dyadic pieces instead: a piece of level k is
+2^k buckets that start at a multiple of 2^k. An interval of n buckets has at most 2 log2(n) pieces, which do not
+overlap, and a point lies in one piece of each level, so that again no pair appears twice.
 """
 
 from __future__ import annotations
@@ -44,6 +48,57 @@ def point_in_interval(
     return near.where(F.col(point).between(F.col(low), F.col(high))).drop(_BUCKET)
 
 
+# Buckets are numbered from here on, so that all dates from year 1 to 9999 have positive numbers.
+_ORIGIN, _LEVELS = 1 << 20, 23
+
+
+def dyadic_pieces(low: Column, high: Column) -> Column:
+    """Array of (level, piece) that make up the buckets ``low`` to ``high``.
+
+    Going up the levels, the rest runs from ceil(low / 2^k) to floor((high + 1) / 2^k); where an end is odd,
+    its last piece belongs to this level.
+    """
+    first, behind = low.cast("long") + _ORIGIN, high.cast("long") + (_ORIGIN + 1)
+
+    def at(k: int) -> list[Column]:
+        left = F.shiftright(first + ((1 << k) - 1), k)
+        right = F.shiftright(behind, k)
+        rest = left < right
+        piece = lambda number: F.struct(F.lit(k).alias("level"), number.alias("piece"))
+        return [
+            F.when(rest & (left % 2 == 1), piece(left)),
+            F.when(rest & (right % 2 == 1), piece(right - 1)),
+        ]
+
+    return F.array_compact(F.array(*[p for k in range(_LEVELS) for p in at(k)]))
+
+
+def point_in_any_interval(
+    points: DataFrame,
+    intervals: DataFrame,
+    keys: Iterable[str],
+    point: str,
+    low: str,
+    high: str,
+    bucket_days: int = 64,
+) -> DataFrame:
+    """As ``point_in_interval``, for intervals of any length: each is at most some forty rows.
+
+    Points are looked up on the levels that occur among the intervals, which a first pass over these collects;
+    where all are short these are the lowest few.
+    """
+    cut = intervals.where(F.col(low) <= F.col(high)).withColumn(
+        "_p", F.explode(dyadic_pieces(_bucket(F.col(low), bucket_days), _bucket(F.col(high), bucket_days)))
+    )
+    spread = cut.select(*intervals.columns, F.col("_p.level").alias("_level"), F.col("_p.piece").alias("_piece"))
+    levels = F.coalesce(spread.agg(F.sort_array(F.collect_set("_level"))).scalar(), F.array().cast("array<int>"))
+    number = _bucket(F.col(point), bucket_days).cast("long") + _ORIGIN
+    placed = points.where(F.col(point).isNotNull()).withColumn("_level", F.explode(levels))
+    placed = placed.withColumn("_piece", F.call_function("shiftright", number, F.col("_level")))
+    near = placed.join(spread, [*keys, "_level", "_piece"])
+    return near.where(F.col(point).between(F.col(low), F.col(high))).drop("_level", "_piece")
+
+
 def lookback_join(
     spine: DataFrame,
     events: DataFrame,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coursemill.functions.nulls import drop_incomplete, strict
 from coursemill.functions.text import has_text, with_flags
-from coursemill.operators.intervals import point_in_interval
+from coursemill.operators.intervals import point_in_any_interval
 from coursemill.operators.joins import keep_members, remap_ids
 from coursemill.operators.rollups import rollup_plans
 
@@ -117,9 +117,9 @@ def treatment_charges(
     return identify(treatment_rows(charges, non_treatment, techniques), people, id_changes)
 
 
-def assign_courses(cohort: DataFrame, charges: DataFrame, on: str = "mrn", bucket_days: int = 64) -> DataFrame:
-    """Charges with every course of the same patient whose date range holds the service date."""
-    return point_in_interval(charges, cohort, [on], "service_date", "start", "end", bucket_days)
+def assign_courses(cohort: DataFrame, charges: DataFrame, on: str = "mrn") -> DataFrame:
+    """Charges with every course of the same patient whose date range, open-ended or not, holds the service date."""
+    return point_in_any_interval(charges, cohort, [on], "service_date", "start", "end")
 
 
 def course_spine(
@@ -129,7 +129,6 @@ def course_spine(
     id_changes: DataFrame | None = None,
     techniques: Iterable[str] = tuple(TECHNIQUES),
     excluded: Iterable[str] = EXCLUDED_TECHNIQUES,
-    bucket_days: int = 64,
 ) -> DataFrame:
     """One row per (pid, course) with dates, amounts, technique flags and usual attending.
 
@@ -147,7 +146,7 @@ def course_spine(
     daily = identify(per_day, people, id_changes)
     ranges = cohort.select("mrn", "start", "end").distinct()
     per_range = (
-        point_in_interval(daily, ranges, ["mrn"], "service_date", "start", "end", bucket_days)
+        point_in_any_interval(daily, ranges, ["mrn"], "service_date", "start", "end")
         .groupBy("mrn", "pid", "start", "end", "attending")
         .agg(F.sum("_charges").alias("_charges"), *[F.max(t).alias(t) for t in techniques])
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from coursemill.functions.nulls import lacks_text, nonblank
 from coursemill.functions.text import recode_tokens, strip_dots
 from coursemill.operators import codes
-from coursemill.operators.intervals import point_in_interval
+from coursemill.operators.intervals import point_in_any_interval, point_in_interval
 from coursemill.operators.joins import backfill, keep_members
 from coursemill.operators.reshape import explode_codes, long_features
 from coursemill.operators.timeline import Measure, by_day, timeline_profile
@@ -121,7 +121,7 @@ def unplanned_admissions(
     """Side table: the admission rows behind ``admit = 1`` with their reason."""
     counted = encounters.where(F.col("admit_date").isNotNull() & lacks_text(F.col("drg"), planned_mark))
     during = spine.select(*KEYS, "start", "end").withColumn("_after_start", F.date_add("start", 1))
-    return point_in_interval(
+    return point_in_any_interval(
         counted, during, ["pid"], "admit_date", "_after_start", "end", bucket_days
     ).drop("_after_start")
 
@@ -454,7 +454,8 @@ def course_diagnoses(
         charges.select(on, "pid", "service_date", "diagnosis_list"), "diagnosis_list", separator, "code", max_slots
     )
     per_day = slots.withColumn("code", strip_dots(F.col("code"))).distinct()
-    mapped = codes.map_codes(per_day, "code", crosswalk, "code9", "code10")
+    # the distinct codes get their names, and these meet the rows once
+    mapped = codes.map_codes(per_day.select("code").distinct(), "code", crosswalk, "code9", "code10")
     rolled = mapped.withColumn("category", codes.roll_up(F.col("code_mapped")))
     described = codes.describe_codes(rolled, "category", terms, short_terms)
     named = codes.label_subchapter(described, "code_mapped", subchapters)
@@ -464,10 +465,10 @@ def course_diagnoses(
             for family, c in (("coursedx", "description"), ("coursesub", "sub_chapter"))
         ]
     )
-    per_day_names = named.select(on, "pid", "service_date", F.inline(features)).distinct()
+    per_day_names = per_day.join(named.select("code", features.alias("_names")), "code").select(on, "pid", "service_date", F.inline("_names")).distinct()
     keys = [on, "start", "end"]
     per_range = (
-        point_in_interval(
+        point_in_any_interval(
             per_day_names, cohort.select(*keys).distinct(), [on], "service_date", "start", "end", bucket_days
         )
         .select(*keys, "pid", "family", "feature")

@@ -115,15 +115,17 @@ SELECT DISTINCT pid, course, 'coursesub', 'coursesub_' || sub_chapter, CAST(1 AS
 
 @query("course_diagnoses", _course_diagnoses_sql(""))
 def course_diagnoses(spark: SparkSession, sf: str, max_slots: int | None = None) -> DataFrame:
+    lines = roles.lines(spark, sf, part=False).withColumn("mrn", F.col("pid"))
+    return _course_diagnoses(spark, sf, roles.spine(spark, sf).withColumnRenamed("pid", "mrn"), lines, max_slots)
+
+
+def _course_diagnoses(spark: SparkSession, sf: str, ranges: DataFrame, lines: DataFrame, max_slots: int | None = None) -> DataFrame:
     dictionary = roles.code_parts(spark, sf).select("p_partkey", roles.diagnosis_list().alias("diagnosis_list"))
-    charged = (
-        roles.lines(spark, sf, part=False)
-        .select("pid", F.col("d").alias("service_date"), "l_partkey")
-        .join(dictionary, F.col("l_partkey") == F.col("p_partkey"))
-        .withColumn("mrn", F.col("pid"))
+    charged = lines.select("mrn", "pid", F.col("d").alias("service_date"), "l_partkey").join(
+        dictionary, F.col("l_partkey") == F.col("p_partkey")
     )
     return features.course_diagnoses(
-        roles.spine(spark, sf).withColumnRenamed("pid", "mrn"),
+        ranges,
         charged,
         _crosswalk(spark, sf),
         subchapter_map(roles.hierarchy(spark, sf), "source_order"),
@@ -164,9 +166,11 @@ SELECT DISTINCT s.pid, course, 'pmhdx', short_desc, CAST(1 AS DOUBLE)
 FROM spine s JOIN hist h ON s.pid = h.pid AND d <= s JOIN terms ON terms.code = three""",
 )
 def history_union(spark: SparkSession, sf: str) -> DataFrame:
-    line = roles.lines(spark, sf, part=False).join(
-        roles.code_parts(spark, sf), F.col("l_partkey") == F.col("p_partkey")
-    )
+    return _past_history(spark, sf, roles.spine(spark, sf), roles.lines(spark, sf, part=False))
+
+
+def _past_history(spark: SparkSession, sf: str, spine: DataFrame, lines: DataFrame) -> DataFrame:
+    line = lines.join(roles.code_parts(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
     problems = line.where(F.col("l_linestatus") == "F").select(
         "pid",
         F.when(F.col("l_returnflag") != "A", F.col("d")).alias("noted_date"),
@@ -184,7 +188,7 @@ def history_union(spark: SparkSession, sf: str) -> DataFrame:
     )
     history = features.history_codes(problems, diagnoses, _crosswalk(spark, sf))
     return features.past_history(
-        roles.spine(spark, sf),
+        spine,
         history,
         subchapter_map(roles.hierarchy(spark, sf), "source_order"),
         _terms(roles.term_rows(spark, sf)),

@@ -234,9 +234,9 @@ proc_long AS (
   SELECT DISTINCT s.pid, course, 'cpt', 'cpt_' || p_name FROM spine s JOIN line l ON s.pid = l.pid AND d <= s)"""
 
 
-def _procedures(spark: SparkSession, sf: str) -> DataFrame:
-    spine = roles.spine(spark, sf)
-    rows = roles.lines(spark, sf).select(
+def _procedures(spark: SparkSession, sf: str, spine: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    spine = roles.spine(spark, sf) if spine is None else spine
+    rows = (roles.lines(spark, sf) if lines is None else lines).select(
         "pid", "d", F.when(F.col("p_type") == "SMALL", "").otherwise(F.col("p_type")).alias("category"), "p_name"
     )
     categories = features.prior_procedures(spine, rows, "category", "d")
@@ -309,8 +309,8 @@ def area_zip5(spark: SparkSession, sf: str) -> DataFrame:
     return features.zip_areas(_addresses(spark, sf))
 
 
-def _addresses(spark: SparkSession, sf: str) -> DataFrame:
-    return roles.table(spark, sf, "customer").select(
+def _addresses(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    return (roles.table(spark, sf, "customer") if of is None else of).select(
         F.col("c_custkey").alias("pid"), F.concat_ws("-", "c_mktsegment", "c_name").alias("postal_code")
     )
 

@@ -1,7 +1,8 @@
-"""Learner queries on the order courses. Fitted models depend on seeded learners: no SQL twin.
+"""Learner queries on the final courses of the whole run, with all families, split within disease strata.
 
-Settings are scaled down (rounds, trees, grid) so that every learner runs in the benchmark; the
-library defaults are the tuned ones.
+Fitted models depend on seeded learners: no SQL twin, but for the lasso's optimality conditions and the votes' sample
+weights. Forests, the lasso and their folds run at their defaults; boosted trees, which grow one after the other, run with
+fewer rounds so that every learner finishes in the benchmark.
 """
 
 from __future__ import annotations
@@ -12,61 +13,92 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.learning import evaluate, models, prepare
+from coursemill.learning import evaluate, lasso, models, prepare, sparse, trees
 from coursemill.operators import hash_split, keep_members
 from coursemill.plans.cohort import KEYS
 from coursemill.session import materialise
 from coursemill.workload import roles
-from coursemill.workload.families import _procedures, final_courses
+from coursemill.workload.course_run import course_run, final_scalars
 from coursemill.workload.registry import query
 
+_TREATMENT = ("planneddose", "plannedfx", "srssbrt", "conv", "imrtvmat", "tsi")
 _NUMERIC = (
-    "age", "lastadmit", "admitatstart", "numyearadmit", "nummonthadmit", "daysyearadmit", "lasted", "nummonthed",
+    *_TREATMENT, "age", "lastadmit", "admitatstart", "numyearadmit", "nummonthadmit", "daysyearadmit", "lasted", "nummonthed",
     "numyeared", "weightloss", "maxpain", "hypo", "hyper", "tachy", "brady", "hypox", "fever", "pain",
-)
-_TREES, _ROUNDS, _DEPTH = 20, 10, 4
+)
+_CATEGORICAL = ("attending", "race", "zip", "tobacco", "alcohol", "illicit_drug", "sexually_active")
+_ROUNDS, _DEPTH = 10, 4
+#: Sub-chapters that define the strata; the first is metastatic.
+_STRATA = (prepare.STRATUM_FEATURES[0], *(f"coursesub_Brand#{n}" for n in (11, 23, 34, 45, 52)))
+
 
 @dataclass(frozen=True)
 class Data:
     courses: DataFrame  # scalars, outcome, is_train
-    store: DataFrame  # presence features that vary enough among training rows
-    train: DataFrame
+    store: DataFrame  # presence features
+    train: DataFrame  # keys, label, indices, values
     test: DataFrame
     names: list[str]
 
+    def vectors(self, rows: DataFrame) -> DataFrame:
+        return sparse.with_vectors(rows, len(self.names))
+
 
 # Written once per (session, data), shared by all learner queries.
 _DATA: dict[tuple[str, str], Data] = {}
+_FORESTS: dict[tuple[str, str], trees.BaggedForest] = {}
+_LASSOS: dict[tuple[str, str], models.Lasso] = {}
 
 
-def _matrix(courses: DataFrame, store: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(train, test, names); encoders see training rows only."""
-    matrix, names, _ = prepare.design_matrix(
-        courses, _NUMERIC, ["race"], store, fit_where=F.col("is_train"), carry=["is_train"]
-    )
-    matrix = materialise(matrix, name)
-    return matrix.where("is_train").drop("is_train"), matrix.where(~F.col("is_train")).drop("is_train"), names
+def _matrix(courses: DataFrame, store: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...], name: str) -> Data:
+    """Encoders see training rows only."""
+    design = sparse.sparse_design(courses, numeric, categorical, store, fit_where=F.col("is_train"), carry=["is_train"])
+    rows = materialise(design.rows, name)
+    train, test = (rows.where(w).drop("is_train") for w in (F.col("is_train"), ~F.col("is_train")))
+    return Data(courses, store, train, test, design.named())
+
+
+def _strata(courses: DataFrame, store: DataFrame) -> DataFrame:
+    """``courses`` with the stratum of their diseases and outcome."""
+    flag = {f"_s{i}": F.max(F.when(F.col("feature") == f, 1).otherwise(0)) for i, f in enumerate(_STRATA)}
+    flags = store.where(F.col("family") == "coursesub").groupBy(*KEYS).agg(*[v.alias(k) for k, v in flag.items()])
+    joined = courses.join(flags, list(KEYS), "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in flag})
+    return joined.withColumn("stratum", prepare.stratum_key(list(flag), "adm_ed")).drop(*flag)
 
 
 def _data(spark: SparkSession, sf: str) -> Data:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _DATA:
+        run = course_run(spark, sf)
         # "Never" is a huge stand-in; on the log scale it does not swamp linear models.
-        logged = prepare.model_columns(final_courses(spark, sf)).withColumns(
-            {c: F.log1p(c) for c in ("lastadmit", "lasted", "daysyearadmit")}
-        )
-        courses = materialise(hash_split(materialise(logged, "final"), KEYS, "adm_ed"), "courses")
+        logged = final_scalars(run).withColumns({c: F.log1p(c) for c in ("lastadmit", "lasted", "daysyearadmit")})
+        final = materialise(_strata(logged, run.store), "final")
+        courses = materialise(hash_split(final, KEYS, "stratum"), "courses")
         in_training = courses.where("is_train").select(*KEYS)
-        store = materialise(_procedures(spark, sf), "store")
+        store = materialise(keep_members(run.store, courses.select(*KEYS), list(KEYS)).withColumn("value", F.lit(1.0)), "store")
         profile = prepare.near_zero_variance(keep_members(store, in_training, list(KEYS)), in_training.count())
         kept = materialise(prepare.drop_near_constant(store, profile), "kept")
-        _DATA[key] = Data(courses, kept, *_matrix(courses, kept, "matrix"))
+        data = _matrix(courses, kept, _NUMERIC, _CATEGORICAL, "matrix")
+        _DATA[key] = Data(courses, store, data.train, data.test, data.names)
     return _DATA[key]
 
 
-def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    data = _data(spark, sf)
-    return data.train, data.test, data.names
+def _forest(spark: SparkSession, sf: str) -> trees.BaggedForest:
+    """The tuned forest, fitted once for the queries that read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FORESTS:
+        data = _data(spark, sf)
+        vectors = materialise(data.vectors(data.train), "train-vectors")
+        _FORESTS[key] = trees.BaggedForest().fit(vectors)
+    return _FORESTS[key]
+
+
+def _lasso(spark: SparkSession, sf: str) -> models.Lasso:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LASSOS:
+        data = _data(spark, sf)
+        _LASSOS[key] = models.lasso_path(data.train, len(data.names))
+    return _LASSOS[key]
 
 
 def _boosted(**params):
@@ -75,93 +107,103 @@ def _boosted(**params):
 
 @query("rf_scores")
 def rf_scores(spark: SparkSession, sf: str) -> DataFrame:
-    train, test, _ = _split(spark, sf)
-    return models.score(models.forest(_TREES, depth=6).fit(train), test)
+    data = _data(spark, sf)
+    return _forest(spark, sf).score(data.vectors(data.test))
 
 
 @query("rf_training_auc")
 def rf_training_auc(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, _ = _split(spark, sf)
-    scores = models.out_of_fold(models.forest(_TREES, depth=6), train, folds=3)
-    return evaluate.auc_interval(scores)
+    """Of the training rows' votes by trees that have not seen them."""
+    data = _data(spark, sf)
+    return evaluate.auc_interval(_forest(spark, sf).score(data.vectors(data.train), unseen_only=True))
 
 
 @query("rf_importance")
 def rf_importance(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, names = _split(spark, sf)
-    model = models.forest(_TREES, depth=6).fit(train)
-    return models.top_importance(models.gini_importance(spark, model, names), 10)
+    return models.top_importance(models.gini_importance(spark, _forest(spark, sf), _data(spark, sf).names), 10)
 
 
 @query("perm_importance")
 def perm_importance(spark: SparkSession, sf: str) -> DataFrame:
-    train, test, names = _split(spark, sf)
-    model = models.forest(_TREES, depth=6).fit(train)
-    return models.top_importance(models.permutation_importance(model, test, names), 10)
+    data = _data(spark, sf)
+    return models.top_importance(models.permutation_importance(_forest(spark, sf), data.test, data.names), 10)
+
+
+@query(
+    "bag_weights",
+    """WITH u AS (
+  SELECT o_orderkey, bag, CAST(('0x' || substr(md5(md5('220|' || CAST(o_orderkey AS VARCHAR)) || '|' || bag), 1, 12)) AS BIGINT) AS u
+  FROM orders, range(3) b(bag)),
+below AS (SELECT k, CAST(floor(sum(exp(-1.0) / factorial(k)) OVER (ORDER BY k) * 281474976710656) AS BIGINT) AS b FROM (SELECT CAST(range AS INTEGER) AS k FROM range(12)))
+SELECT CAST(bag AS INTEGER) AS bag, o_orderkey, CAST(count(*) FILTER (WHERE u >= b) AS INTEGER) AS weight FROM u, below GROUP BY bag, o_orderkey""",
+)
+def bag_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each order counts in the first bags of trees."""
+    orders = roles.table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("bag"))
+    return orders.select("bag", "o_orderkey", trees.bag_weight(["o_orderkey"], F.col("bag"), 220).cast("int").alias("weight"))
 
 
 @query("lasso_1se")
 def lasso_1se(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, names = _split(spark, sf)
-    path = models.penalty_path(train, steps=5, ratio=0.05)
-    model, _, _ = models.lasso_path(train, path, folds=3, max_iter=20)
-    return models.coefficient_table(spark, model, names)
+    return models.coefficient_table(spark, _lasso(spark, sf), _data(spark, sf).names)
+
+
+@query("lasso_curve")
+def lasso_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean AUC of held-out folds at every penalty."""
+    return _lasso(spark, sf).table
 
 
 @query("lasso_scores")
 def lasso_scores(spark: SparkSession, sf: str) -> DataFrame:
-    train, test, _ = _split(spark, sf)
-    path = models.penalty_path(train, steps=3, ratio=0.05)
-    model, _, _ = models.lasso_path(train, path, folds=3, max_iter=20)
-    return models.score(model, test)
+    return _lasso(spark, sf).score(_data(spark, sf).test)
 
 
 @query("svm_rff_platt")
 def svm_rff_platt(spark: SparkSession, sf: str) -> DataFrame:
-    train, test, _ = _split(spark, sf)
-    return models.KernelMachine(dimensions=32, max_iter=10).fit(train).score(test)
+    data = _data(spark, sf)
+    return models.KernelMachine().fit(data.train, width=len(data.names)).score(data.test)
 
 
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
-    train, test, _ = _split(spark, sf)
-    return models.score(_boosted().fit(train), test)
+    data = _data(spark, sf)
+    return models.score(_boosted().fit(data.vectors(data.train)), data.vectors(data.test))
 
 
 @query("gbt_confusion")
 def gbt_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    train, test, _ = _split(spark, sf)
-    scores = models.score(_boosted().fit(train), test)
     cutoffs = {"youden": evaluate.YOUDEN_CUTOFF, "topleft": evaluate.TOPLEFT_CUTOFF}
-    return evaluate.confusion(scores, cutoffs)
+    return evaluate.confusion(gbt_scores(spark, sf), cutoffs)
 
 
 @query("gbt_grid")
 def gbt_grid(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, _ = _split(spark, sf)
+    data = _data(spark, sf)
     return models.grid_search(
-        train, subsample=(0.5, 1.0), columns=(0.4,), depth=(2, 4), rounds=3, rate=0.1, folds=2
+        data.vectors(data.train), subsample=(0.5, 1.0), columns=(0.4,), depth=(2, 4), rounds=3, rate=0.1, folds=2
     )
 
 
 @query("gbt_learning_curve")
 def gbt_learning_curve(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, _ = _split(spark, sf)
-    return models.curve_long(models.learning_curve(train, _boosted(), folds=2))
+    data = _data(spark, sf)
+    return models.curve_long(models.learning_curve(data.vectors(data.train), _boosted(), folds=2))
 
 
 @query("importance_topk")
 def importance_topk(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, names = _split(spark, sf)
-    return models.top_importance(models.gini_importance(spark, _boosted().fit(train), names), 12)
+    data = _data(spark, sf)
+    return models.top_importance(models.gini_importance(spark, _boosted().fit(data.vectors(data.train)), data.names), 12)
 
 
 @query("subset_model")
 def subset_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Control model that sees one feature family only, evaluated on the same test rows."""
-    data = _data(spark, sf)
-    train, test, _ = _matrix(data.courses, prepare.of_families(data.store, ("proc",)), "subset")
-    return evaluate.auc_interval(models.score(_boosted().fit(train), test))
+    """Control model that sees treatment and disease only, unfiltered, evaluated on the same test rows."""
+    whole = _data(spark, sf)
+    store = prepare.of_families(whole.store, prepare.DISEASE_FAMILIES)
+    data = _matrix(whole.courses, store, _TREATMENT, ("attending",), "subset")
+    return evaluate.auc_interval(models.score(_boosted().fit(data.vectors(data.train)), data.vectors(data.test)))
 
 
 @query(
@@ -208,3 +250,53 @@ def penalty_path(spark: SparkSession, sf: str) -> DataFrame:
     path = models.penalty_path(matrix, steps=5, ratio=0.01)
     table = spark.createDataFrame(list(enumerate(path)), "step int, penalty double")
     return table.select("step", F.round(F.col("penalty") * 1000000, 4).alias("scaled_penalty"))
+
+
+_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+_LASSO_COLUMNS = (*_PENALTY_COLUMNS, *(f"p_type{t}" for t in _TYPES))
+
+
+@query(
+    "lasso_optimality",
+    f"""SELECT CAST(step AS INTEGER) AS step, unnest([{", ".join(f"'{c}'" for c in ("(Intercept)", *_LASSO_COLUMNS))}]) AS feature, TRUE AS optimal
+FROM range(100) r(step)""",
+)
+def lasso_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each coefficient of a whole path meets its optimality condition, worked out from the rows by expressions.
+
+    Returned lines from order lines: amounts and the part's type. A coefficient that is not zero must have a gradient of the penalty
+    (times its column's deviation) against its sign, any other one a gradient within it; the intercept's is zero.
+    """
+    lines = roles.table(spark, sf, "lineitem").join(roles.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    columns = {c: F.col(c).cast("double") for c in _PENALTY_COLUMNS} | {
+        f"p_type{t}": F.when(F.col("p_type") == t, 1.0).otherwise(0.0) for t in _TYPES
+    }
+    label = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label")
+    rows = materialise(lines.select(label, *[c.alias(n) for n, c in columns.items()]), "lasso-lines")
+    cells = F.filter(
+        F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(_LASSO_COLUMNS)]), lambda c: c["v"] != 0
+    )
+    found = rows.select("label", cells.alias("c")).select("label", F.col("c.i").alias("indices"), F.col("c.v").alias("values"))
+    packed = lasso.packed(found, len(_LASSO_COLUMNS))
+    path = lasso.fit_path(packed, lasso.penalties_for(lasso.moments(packed)))
+    steps = [
+        (i, float(p), float(path.intercepts[i, 0]), [float(b) for b in path.coefficients[i, 0]]) for i, p in enumerate(path.penalties)
+    ]
+    fits = spark.createDataFrame(steps, "step int, penalty double, intercept double, beta array<double>")
+    margin = sum((F.col(c) * F.col(f"fit.beta")[i] for i, c in enumerate(_LASSO_COLUMNS)), F.col("fit.intercept"))
+    each = rows.withColumn("fit", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(fits.columns, s)]) for s in steps])))
+    rest = each.withColumn("rest", F.col("label") - F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)))
+    sums = rest.groupBy(F.col("fit.step").alias("step")).agg(
+        F.avg("rest").alias("(Intercept)"),
+        *[F.avg(F.col("rest") * F.col(c)).alias(c) for c in _LASSO_COLUMNS],
+        *[F.stddev_pop(c).alias(f"s_{c}") for c in _LASSO_COLUMNS],
+    )
+    slack = F.col("penalty") * (lasso.TOLERANCE * 1.01)
+
+    def optimal(i: int, c: str):
+        gradient, bound, beta = F.col(c) / F.col(f"s_{c}"), F.col("penalty"), F.col("beta")[i]
+        return F.when(beta != 0, F.abs(gradient - bound * F.signum(beta)) <= slack).otherwise(F.abs(gradient) <= bound + slack)
+
+    told = [F.struct(F.lit("(Intercept)").alias("feature"), (F.abs("(Intercept)") <= slack).alias("optimal"))]
+    told += [F.struct(F.lit(c).alias("feature"), optimal(i, c).alias("optimal")) for i, c in enumerate(_LASSO_COLUMNS)]
+    return sums.join(fits, "step").select("step", F.inline(F.array(*told)))

@@ -18,6 +18,11 @@ def day(c: str) -> Column:
     return F.col(c).cast("date")
 
 
+def _source(spark: SparkSession, sf_dir: str, name: str, of: DataFrame | None) -> DataFrame:
+    """``of`` in place of the table: the same columns, under other patient ids."""
+    return table(spark, sf_dir, name) if of is None else of
+
+
 # --- courses and encounters from orders --------------------------------------------------------
 
 SPINE = """spine AS (
@@ -46,9 +51,9 @@ ENCOUNTERS = """encounter AS (
 PLANNED = "URGENT"
 
 
-def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encounters(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     stay = F.floor(F.col("o_totalprice") / 5000).cast("int")
-    return table(spark, sf_dir, "orders").select(
+    return _source(spark, sf_dir, "orders", of).select(
         F.col("o_custkey").alias("pid"),
         day("o_orderdate").alias("admit_date"),
         F.when(F.col("o_orderstatus") != "P", F.date_add(day("o_orderdate"), stay)).alias("discharge_date"),
@@ -61,9 +66,9 @@ ED = """ed_visit AS (
   SELECT o_custkey AS pid, CAST(o_orderdate AS DATE) AS ed_arrival_date FROM orders WHERE o_orderstatus = 'F')"""
 
 
-def ed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ed_visits(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     return (
-        table(spark, sf_dir, "orders")
+        _source(spark, sf_dir, "orders", of)
         .where(F.col("o_orderstatus") == "F")
         .select(F.col("o_custkey").alias("pid"), day("o_orderdate").alias("ed_arrival_date"))
     )
@@ -78,9 +83,9 @@ SOCIAL = """social AS (
   FROM orders)"""
 
 
-def social(spark: SparkSession, sf_dir: str) -> DataFrame:
+def social(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     price = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").select(
+    return _source(spark, sf_dir, "orders", of).select(
         F.col("o_custkey").alias("pid"),
         day("o_orderdate").alias("reported_date"),
         F.col("o_orderkey").alias("source_order"),
@@ -98,9 +103,9 @@ PATIENTS = """patient AS (
   FROM customer)"""
 
 
-def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+def patients(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     born = F.date_sub(F.lit("1985-06-30").cast("date"), F.floor("c_acctbal").cast("int"))
-    return table(spark, sf_dir, "customer").select(
+    return _source(spark, sf_dir, "customer", of).select(
         F.col("c_custkey").alias("pid"), born.alias("dob"), F.col("c_mktsegment").alias("race")
     )
 
@@ -143,9 +148,9 @@ VITALS = """vital AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-def vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vitals(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     q, closed = F.col("l_quantity"), F.col("l_linestatus") == "F"
-    return lines(spark, sf_dir, part=False).select(
+    return (lines(spark, sf_dir, part=False) if of is None else of).select(
         "pid",
         F.col("d").alias("taken_date"),
         "source_order",
@@ -169,8 +174,8 @@ LABS = """lab_source AS (
 lab AS (SELECT * REPLACE (coalesce(test_name, 'Sodium') AS test_name) FROM lab_source)"""
 
 
-def labs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).select(
+def labs(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    return (lines(spark, sf_dir) if of is None else of).select(
         "pid",
         F.col("d").alias("specimen_date"),
         F.when(F.col("l_linenumber") != 6, F.col("p_name")).alias("test_name"),
@@ -193,9 +198,9 @@ DICTIONARY = """rx AS (
 AGENT_KEYWORD, AGENT_EXCLUDED = "PROMO hot", ("hot ring", "hot bolt")
 
 
-def medications(spark: SparkSession, sf_dir: str) -> DataFrame:
+def medications(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     ended = (F.col("l_linestatus") == "F") | (F.col("l_returnflag") != "N")
-    return lines(spark, sf_dir).select(
+    return (lines(spark, sf_dir) if of is None else of).select(
         "pid",
         F.col("p_name").alias("drug_name"),
         F.when(F.col("l_tax") > 0, F.col("d")).alias("start_date"),
@@ -234,11 +239,13 @@ chapters AS (
   SELECT three_digit, CASE three_digit WHEN 'C79' THEN 'Secondary malignant neoplasm of other and unspecified sites'
                       ELSE first(sub_chapter ORDER BY ord) END AS sub_chapter
   FROM (SELECT ten3 AS three_digit, p_brand AS sub_chapter, p_partkey AS ord FROM code_part WHERE p_size <= 45
-        UNION ALL SELECT 'C79', p_type, p_partkey FROM code_part) GROUP BY three_digit),
+        UNION ALL SELECT 'C79', p_type, p_partkey FROM code_part
+        UNION ALL SELECT 'Z29', 'Fourth code', 0 UNION ALL SELECT 'V10', 'Fifth code', 0) GROUP BY three_digit),
 terms AS (
   SELECT code, first(short_desc ORDER BY ord) AS short_desc
   FROM (SELECT ten3 AS code, p_name AS short_desc, p_partkey AS ord FROM code_part WHERE p_size <= 30
-        UNION ALL SELECT 'C79' || b1, p_type, p_partkey FROM code_part WHERE b1 < '7') GROUP BY code),
+        UNION ALL SELECT 'C79' || b1, p_type, p_partkey FROM code_part WHERE b1 < '7'
+        UNION ALL SELECT 'Z29', 'Fourth code', 0 UNION ALL SELECT 'V10', 'Fifth code', 0) GROUP BY code),
 short_terms AS (
   SELECT ten3 AS code, first(p_name ORDER BY p_partkey) AS short_desc FROM code_part
   WHERE p_size > 25 AND p_size <= 40 GROUP BY 1)"""
@@ -300,6 +307,12 @@ def crosswalk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.unionByName(standard).unionByName(nines)
 
 
+def _late_codes(spark: SparkSession, *columns: str) -> DataFrame:
+    """Dictionary rows of the codes that lists hold in fourth and fifth place, so that a cut of the lists shows."""
+    rows = [("Z29", "Fourth code", 0), ("V10", "Fifth code", 0)]
+    return spark.createDataFrame(rows, f"{columns[0]} string, {columns[1]} string, source_order long")
+
+
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = code_parts(spark, sf_dir)
     named = p.where(F.col("p_size") <= 45).select(
@@ -308,7 +321,7 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = p.select(
         F.lit("C79").alias("three_digit"), F.col("p_type").alias("sub_chapter"), F.col("p_partkey").alias("source_order")
     )
-    return named.unionByName(full)
+    return named.unionByName(full).unionByName(_late_codes(spark, "three_digit", "sub_chapter"))
 
 
 def term_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +332,7 @@ def term_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     four = p.where(F.col("b1") < "7").select(
         F.concat(F.lit("C79"), "b1").alias("code"), F.col("p_type").alias("short_desc"), F.col("p_partkey").alias("source_order")
     )
-    return three.unionByName(four)
+    return three.unionByName(four).unionByName(_late_codes(spark, "code", "short_desc"))
 
 
 def short_term_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from coursemill.learning import evaluate, models, prepare
+from coursemill.learning import evaluate, models, prepare, sparse, trees
 
 
 def test_model_columns_and_patterns(spark):
@@ -100,18 +100,22 @@ def test_forest_importances_and_out_of_fold(spark, matrix):
 def test_lasso_takes_the_largest_penalty_within_one_error(spark, matrix):
     path = models.penalty_path(matrix, steps=4, ratio=0.01)
     assert path == sorted(path, reverse=True) and path[-1] == pytest.approx(path[0] * 0.01)
-    model, table, chosen = models.lasso_path(matrix, path, folds=3, max_iter=20)
-    log = table.collect()
+    sparse_rows = sparse.from_vectors(matrix)
+    model = models.lasso_path(sparse_rows, 3, path, folds=3)
+    log = model.table.collect()
     best = max(log, key=lambda r: r.auc)
-    assert chosen == max(r.penalty for r in log if r.auc >= best.auc - best.se)
-    assert [r.penalty for r in log if r.chosen] == [chosen]
+    assert model.penalty == max(r.penalty for r in log if r.auc >= best.auc - best.se)
+    assert [r.penalty for r in log if r.chosen] == [model.penalty]
     kept = {r.feature for r in models.coefficient_table(spark, model, NAMES).collect()}
     assert kept >= {"(Intercept)", "signal"}
-    # At the start of the path nothing is left.
+    # At the start of the path nothing is left, at its end the fit is MLlib's.
     from pyspark.ml.classification import LogisticRegression
 
     empty = LogisticRegression(elasticNetParam=1.0, regParam=path[0] * 1.01).fit(matrix)
     assert rows(models.coefficient_table(spark, empty, NAMES), "feature") == [("(Intercept)",)]
+    same = LogisticRegression(elasticNetParam=1.0, regParam=path[-1], tol=1e-10).fit(matrix)
+    assert model.path.coefficients[-1, 0] == pytest.approx(same.coefficients.toArray(), abs=2e-3)
+    assert _auc(model.score(sparse_rows)) == pytest.approx(_auc(models.score(same, matrix)), abs=0.02)
 
 
 def test_fourier_features_approximate_the_kernel(spark):
@@ -154,3 +158,70 @@ def test_early_stopping_is_optional(matrix):
     marked = matrix.withColumn("held", F.col("pid") % 4 == 0)
     model = models.boosted_trees(rounds=6, rate=0.5, depth=2, early_stop_flag="held").fit(marked)
     assert 1 <= len(model.trees) <= 6
+
+
+def test_sparse_design_equals_the_dense_one(spark):
+    schema = "pid int, course string, age double, f string, g string, adm_ed int"
+    df = spark.createDataFrame([(1, "a", 1.5, "x", "u", 1), (2, "b", 2.5, "y", "v", 0), (3, "c", 0.0, "z", "v", 1), (4, "d", None, None, "w", 0)], schema)
+    stored = [(1, "a", "lab", "ALB", 1.0), (2, "b", "lab", "ALB", 1.0), (2, "b", "lab", "K", 1.0), (9, "z", "lab", "age", 1.0)]
+    store = spark.createDataFrame(stored, "pid int, course string, family string, feature string, value double")
+    design = sparse.sparse_design(df, ["age"], ["f", "g"], store, fit_where=F.col("pid") < 4, carry=["f"])
+    names = {r.position: (r.kind, r.name) for r in design.names.collect()}
+    assert sorted(n for _, n in names.values()) == ["ALB", "K", "age", "age", "fx", "fy", "fz", "gv"]
+    assert sorted(names) == list(range(8)) and design.width == 8 and len(design.named()) == 8
+    got = {r.course: {names[i][1]: v for i, v in zip(r.indices, r["values"])} for r in design.rows.collect()}
+    assert got == {"a": {"age": 1.5, "fx": 1, "ALB": 1}, "b": {"age": 2.5, "fy": 1, "gv": 1, "ALB": 1, "K": 1}, "c": {"fz": 1, "gv": 1}, "d": {}}
+    vectors = {r.course: r.features for r in sparse.with_vectors(design.rows, design.width).collect()}
+    assert all(vectors[c].numNonzeros() == len(got[c]) for c in got)
+    plan = design.rows._jdf.queryExecution().executedPlan().toString()
+    assert "CountVectorizer" not in plan and "Python" not in plan
+
+
+def test_projection_is_the_laid_out_matrix():
+    import numpy as np
+
+    projection = sparse.Projection(5, 20, 3)
+    matrix = projection.of(np.eye(5))
+    x = np.random.default_rng(1).normal(size=(7, 5))
+    assert projection.of(x) == pytest.approx(x @ matrix)
+    wide = sparse.Projection(6, 4000, 1).of(np.eye(6))
+    assert np.cov(wide) == pytest.approx(np.eye(6), abs=0.15)  # standard normal entries
+
+
+def test_sparse_rows_are_centred_and_scaled_in_the_projection(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    data = [(i, [j for j in range(6) if (i + j) % 3], [rng.gauss(5, 2) for j in range(6) if (i + j) % 3]) for i in range(30)]
+    df = spark.createDataFrame(data, "i int, indices array<int>, values array<double>")
+    mean, deviation = sparse.column_moments(df, 6)
+    x = np.zeros((30, 6))
+    for i, at, values in data:
+        x[i, at] = values
+    assert mean == pytest.approx(x.mean(0)) and deviation == pytest.approx(x.std(0, ddof=1))
+    lifted = sparse.fourier_rows(df, 6, 16, 0.3, 4, deviation, mean)
+    projection = sparse.Projection(6, 16, 4)
+    want = np.cos(projection.of((x - mean) / deviation) * math.sqrt(0.6) + projection.shifts) * math.sqrt(2 / 16)
+    assert [r.fourier for r in lifted.orderBy("i").collect()] == [pytest.approx(w) for w in want]
+
+
+def test_permuted_losses_equal_dense_rescoring(spark, matrix):
+    from pyspark.ml.functions import vector_to_array
+
+    from coursemill.operators.ranking import shuffled_rank
+
+    model = models.forest(8, depth=4).fit(matrix)
+    got = {r.position: r.lost for r in trees.permuted_losses(trees.forest_nodes(spark, [model]), sparse.from_vectors(matrix), 3).collect()}
+    plain = matrix.withColumn("x", vector_to_array("features"))
+    own = shuffled_rank(plain, ["pid", "course"], 220, "r").collect()
+    donor = {r.r: r.x for r in shuffled_rank(plain, ["pid", "course"], 221, "r").collect()}
+    right = {r.pid: r.prediction == r.label for r in model.transform(matrix).collect()}
+    for j in range(3):
+        swapped = [(r.pid, r.course, r.label, Vectors.dense([donor[r.r][k] if k == j else v for k, v in enumerate(r.x)])) for r in own]
+        again = model.transform(spark.createDataFrame(swapped, ["pid", "course", "label", "features"])).collect()
+        assert got.get(j, 0) == sum(right.values()) - sum(r.prediction == r.label for r in again)
+    forest = trees.BaggedForest(trees=6, bags=3, depth=3).fit(matrix)
+    importance = {r.feature: r.importance for r in models.permutation_importance(forest, matrix, NAMES).collect()}
+    assert max(importance, key=importance.get) == "signal"
+    gini = {r.feature: r.importance for r in models.gini_importance(spark, forest, NAMES).collect()}
+    assert max(gini, key=gini.get) == "signal"

@@ -1,4 +1,5 @@
 import random
+from datetime import date
 
 import pytest
 from conftest import rows
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coursemill import operators as op
 from coursemill.operators import codes
+from coursemill.operators.intervals import dyadic_pieces
 
 
 def test_remap_merges_old_ids(spark):
@@ -204,3 +206,24 @@ def test_cohort_ingredients(spark):
     classes = codes.drug_classes(rx)
     assert ("d4", "other", "other") in rows(classes)
     assert rows(codes.cohort_ingredients(classes, orders)) == [("cis",)]
+
+
+def test_open_ended_intervals_equal_brute_force_in_few_rows(spark, day):
+    rng = random.Random(9)
+    points = [(rng.randint(1, 3), i, day(rng.randint(-900, 900)) if i % 11 else None) for i in range(200)]
+    points += [(1, 500, date(1, 1, 1)), (1, 501, date(9999, 12, 31))]
+    intervals = []
+    for i in range(80):
+        low, kind = rng.randint(-900, 900), i % 4
+        high = date(9999, 12, 31) if kind == 0 else day(low + rng.choice([-3, 0, 1, 40, 700]))
+        intervals.append((rng.randint(1, 3), i, date(1, 1, 1) if kind == 1 and i % 8 == 1 else day(low), high))
+    p = spark.createDataFrame(points, "k int, p int, at date")
+    q = spark.createDataFrame(intervals, "k int, q int, low date, high date")
+    want = sorted((a, b) for k, a, t in points for j, b, lo, hi in intervals if k == j and t and lo <= t <= hi)
+    for width in (1, 16, 64):
+        got = op.point_in_any_interval(p, q, ["k"], "at", "low", "high", width)
+        assert sorted((r.p, r.q) for r in got.collect()) == want
+    assert op.point_in_any_interval(p, q.limit(0), ["k"], "at", "low", "high").count() == 0
+    number = lambda c: F.floor(F.unix_date(c) / 64)
+    sizes = q.where("low <= high").select(F.size(dyadic_pieces(number(F.col("low")), number(F.col("high")))).alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] < 40
