@@ -9,7 +9,8 @@ path goes on. A penalty is done when every coefficient of every fit, in the work
 optimality condition, so what the strong rule wrongly left out comes in.
 
 A fold's fit leaves the fold's rows out. Its curvature is that of all rows, weighted by the fit to all rows, less
-the fold's part, so that all fits take the work of one; conditions are checked with each fit's own gradient.
+the fold's part, so that all fits take the work of one; conditions are checked with each fit's own gradient. Where that does not settle, as with few
+rows for the columns, each fit's own curvature is summed up, and at last an upper bound of it.
 
 Passes return one row per group of tasks, added up in two levels. The driver holds coefficients and the
 curvature of the working set, never rows.
@@ -30,11 +31,14 @@ from coursemill.session import materialise
 #: Rows of a block.
 BLOCK_ROWS = 4096
 #: A condition may be off by so much of the penalty.
-TOLERANCE = 1e-3
+TOLERANCE = 5e-3
 #: Tasks whose sums are added up on the driver; those of more are added up in groups first.
 DIRECT = 64
 #: Penalties ahead for which the strong rule is asked, so that one pass serves several.
 AHEAD = 4
+#: Passes for one penalty after which each fit's curvature takes the fit's own weights, and those after which it takes the
+#: largest weight there is, with which no step overshoots.
+OWN, BOUNDED = 6, 30
 #: Passes for one penalty, after which an error is raised.
 MOST_PASSES = 200
 
@@ -174,20 +178,18 @@ def penalties_for(m: dict[str, np.ndarray], steps: int = 100, ratio: float = 0.0
 def _descended(curve: np.ndarray, slope: np.ndarray, at: np.ndarray, bound: np.ndarray, enough: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Near the least of each fit's quadratic around ``at`` plus ``bound * |coefficient|``, by coordinates, all fits at once.
 
-    Shapes are (fits, size, size) and (fits, size). After a round over all coordinates come rounds over those that are
-    not zero in some fit, until no step changes a slope by more than ``enough``, or the rounds are over: the next pass
-    over the rows goes on from there.
+    Shapes are (fits, size, size) and (fits, size). A round goes over the coefficients that are not zero, or that their slope
+    moves, in some fit. It ends when no step changes a slope by more than ``enough``, or the rounds are over: the next
+    pass over the rows goes on from there.
     """
     x, g = at.copy(), slope.copy()  # g: slope of the quadratics at x
     diagonal = np.maximum(np.diagonal(curve, axis1=1, axis2=2), 1e-12)
     columns = np.ascontiguousarray(curve.transpose(2, 0, 1))
     step, shrink = np.ascontiguousarray((1 / diagonal).T), np.ascontiguousarray((bound / diagonal).T)
     limit = np.ascontiguousarray((enough / diagonal).T)
-    every = np.arange(x.shape[1])
-    some = every
     for _ in range(rounds):
         moving = False
-        for j in some:
+        for j in np.flatnonzero(((x != 0) | (np.abs(g) > bound)).any(0)):
             raw = x[:, j] - g[:, j] * step[j]
             new = np.sign(raw) * np.maximum(np.abs(raw) - shrink[j], 0.0)
             moved = new - x[:, j]
@@ -196,11 +198,7 @@ def _descended(curve: np.ndarray, slope: np.ndarray, at: np.ndarray, bound: np.n
                 x[:, j] = new
                 moving = moving or bool((np.abs(moved) > limit[j]).any())
         if not moving:
-            if len(some) == len(every):
-                break
-            some = every
-        else:
-            some = np.flatnonzero((x != 0).any(0))
+            break
     return x
 
 
@@ -216,25 +214,32 @@ def fit_path(rows: Rows, penalties: Sequence[float] | None = None, tolerance: fl
     before = float(np.max(np.abs(gradient[s > 0]) / s[s > 0], initial=0.0))
     intercepts, coefficients, passes = [], [], 0
 
-    def through(columns: np.ndarray) -> dict[str, np.ndarray]:
+    def through(columns: np.ndarray, attempt: int) -> dict[str, np.ndarray]:
         b, c = beta[:, columns].T.copy(), intercept.copy()
         size = len(columns) + 1
+        own, bounded = OWN <= attempt < BOUNDED, attempt >= BOUNDED
 
         def one(block: _Block) -> list[np.ndarray]:
             x = np.concatenate([np.ones((block.n, 1)), block.dense(columns)], axis=1)
             p = 1 / (1 + np.exp(-np.clip(x[:, 1:] @ b + c, -40, 40)))
-            rest = (block.y[:, None] - p) * _in_fit(block.fold, fits)
+            seen = _in_fit(block.fold, fits)
+            rest = (block.y[:, None] - p) * seen
             curve = np.zeros((fits, size, size))
-            weighted = x * (p[:, :1] * (1 - p[:, :1]))
-            for k in range(fits - 1):
-                mine = block.fold == k
-                curve[k + 1] = weighted[mine].T @ x[mine]
-            curve[0] = weighted.T @ x
+            if own:
+                for f in range(fits):
+                    curve[f] = (x * (p * (1 - p) * seen)[:, f : f + 1]).T @ x
+            else:
+                weighted = x * (0.25 if bounded else p[:, :1] * (1 - p[:, :1]))
+                for k in range(fits - 1):
+                    mine = block.fold == k
+                    curve[k + 1] = weighted[mine].T @ x[mine]
+                curve[0] = weighted.T @ x
             return [rest.sum(0), block.totals(rest).ravel(), curve.ravel()]
 
         t = _added(rows, ["rest", "gradient", "curve"], one)
         curve = t["curve"].reshape(fits, size, size)
-        curve[1:] = curve[0] - curve[1:]
+        if not own:
+            curve[1:] = curve[0] - curve[1:]
         return {"rest": t["rest"], "gradient": t["gradient"].reshape(fits, width), "curve": curve}
 
     columns, t = np.zeros(0, dtype=np.int64), None
@@ -248,10 +253,10 @@ def fit_path(rows: Rows, penalties: Sequence[float] | None = None, tolerance: fl
             t = None
         else:  # the last pass was at these coefficients and has the curvature
             working[columns] = True
-        for _ in range(MOST_PASSES):
+        for attempt in range(MOST_PASSES):
             if t is None:
                 columns = np.flatnonzero(working)
-                t = through(columns)
+                t = through(columns, attempt)
                 passes += 1
                 gradient = t["gradient"] / n[:, None]
             off = np.where(beta != 0, np.abs(gradient - penalty * s * np.sign(beta)), np.maximum(np.abs(gradient) - penalty * s, 0.0))
@@ -261,13 +266,16 @@ def fit_path(rows: Rows, penalties: Sequence[float] | None = None, tolerance: fl
             late = (off > tolerance * penalty).any(0) & ~working
             if late.any():  # wrongly left out: next pass has their curvature
                 working |= late
-            start = np.concatenate([intercept[:, None], beta[:, columns]], axis=1)
-            slope = -np.concatenate([t["rest"][:, None], t["gradient"][:, columns]], axis=1) / n[:, None]
-            bound = np.concatenate([np.zeros((fits, 1)), np.where(s[:, columns] > 0, penalty * s[:, columns], 1e300)], axis=1)
-            enough = np.concatenate([np.ones((fits, 1)), s[:, columns]], axis=1) * (0.1 * tolerance * penalty)
-            found = _descended(t["curve"] / n[:, None, None], slope, start, bound, enough)
-            intercept, beta, t = found[:, 0], beta.copy(), None
-            beta[:, columns] = found[:, 1:]
+            # the intercept is solved for, which leaves the curvature of columns centred under the fit's weights
+            curve, slope = t["curve"] / n[:, None, None], -t["gradient"][:, columns] / n[:, None]
+            shared = curve[:, 1:, 0] / curve[:, :1, 0]
+            lift = -t["rest"] / n
+            own = curve[:, 1:, 1:] - shared[:, :, None] * curve[:, None, 1:, 0]
+            bound = np.where(s[:, columns] > 0, penalty * s[:, columns], 1e300)
+            found = _descended(own, slope - shared * lift[:, None], beta[:, columns], bound, 0.1 * tolerance * penalty * s[:, columns])
+            intercept = intercept - lift / curve[:, 0, 0] - (shared * (found - beta[:, columns])).sum(1)
+            beta, t = beta.copy(), None
+            beta[:, columns] = found
         else:
             raise RuntimeError(f"the path does not meet its conditions at penalty {penalty}")
         before = penalty

@@ -7,7 +7,7 @@ fewer rounds so that every learner finishes in the benchmark.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +38,10 @@ class Data:
     store: DataFrame  # presence features
     train: DataFrame  # keys, label, indices, values
     test: DataFrame
+    train_vectors: DataFrame  # the same as MLlib vectors
+    test_vectors: DataFrame
     names: list[str]
 
-    def vectors(self, rows: DataFrame) -> DataFrame:
-        return sparse.with_vectors(rows, len(self.names))
-
 
 # Written once per (session, data), shared by all learner queries.
 _DATA: dict[tuple[str, str], Data] = {}
@@ -54,8 +53,9 @@ def _matrix(courses: DataFrame, store: DataFrame, numeric: tuple[str, ...], cate
     """Encoders see training rows only."""
     design = sparse.sparse_design(courses, numeric, categorical, store, fit_where=F.col("is_train"), carry=["is_train"])
     rows = materialise(design.rows, name)
-    train, test = (rows.where(w).drop("is_train") for w in (F.col("is_train"), ~F.col("is_train")))
-    return Data(courses, store, train, test, design.named())
+    vectors = materialise(sparse.with_vectors(rows, design.width), f"{name}-vectors")
+    parts = [df.where(w).drop("is_train") for df in (rows, vectors) for w in (F.col("is_train"), ~F.col("is_train"))]
+    return Data(courses, store, *parts, design.named())
 
 
 def _strata(courses: DataFrame, store: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def _data(spark: SparkSession, sf: str) -> Data:
         profile = prepare.near_zero_variance(keep_members(store, in_training, list(KEYS)), in_training.count())
         kept = materialise(prepare.drop_near_constant(store, profile), "kept")
         data = _matrix(courses, kept, _NUMERIC, _CATEGORICAL, "matrix")
-        _DATA[key] = Data(courses, store, data.train, data.test, data.names)
+        _DATA[key] = replace(data, store=store)
     return _DATA[key]
 
 
@@ -87,9 +87,7 @@ def _forest(spark: SparkSession, sf: str) -> trees.BaggedForest:
     """The tuned forest, fitted once for the queries that read it."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FORESTS:
-        data = _data(spark, sf)
-        vectors = materialise(data.vectors(data.train), "train-vectors")
-        _FORESTS[key] = trees.BaggedForest().fit(vectors)
+        _FORESTS[key] = trees.BaggedForest().fit(_data(spark, sf).train_vectors)
     return _FORESTS[key]
 
 
@@ -108,14 +106,14 @@ def _boosted(**params):
 @query("rf_scores")
 def rf_scores(spark: SparkSession, sf: str) -> DataFrame:
     data = _data(spark, sf)
-    return _forest(spark, sf).score(data.vectors(data.test))
+    return _forest(spark, sf).score(data.test_vectors)
 
 
 @query("rf_training_auc")
 def rf_training_auc(spark: SparkSession, sf: str) -> DataFrame:
     """Of the training rows' votes by trees that have not seen them."""
     data = _data(spark, sf)
-    return evaluate.auc_interval(_forest(spark, sf).score(data.vectors(data.train), unseen_only=True))
+    return evaluate.auc_interval(_forest(spark, sf).score(data.train_vectors, unseen_only=True))
 
 
 @query("rf_importance")
@@ -168,7 +166,7 @@ def svm_rff_platt(spark: SparkSession, sf: str) -> DataFrame:
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     data = _data(spark, sf)
-    return models.score(_boosted().fit(data.vectors(data.train)), data.vectors(data.test))
+    return models.score(_boosted().fit(data.train_vectors), data.test_vectors)
 
 
 @query("gbt_confusion")
@@ -181,20 +179,20 @@ def gbt_confusion(spark: SparkSession, sf: str) -> DataFrame:
 def gbt_grid(spark: SparkSession, sf: str) -> DataFrame:
     data = _data(spark, sf)
     return models.grid_search(
-        data.vectors(data.train), subsample=(0.5, 1.0), columns=(0.4,), depth=(2, 4), rounds=3, rate=0.1, folds=2
+        data.train_vectors, subsample=(0.5, 1.0), columns=(0.4,), depth=(2, 4), rounds=3, rate=0.1, folds=2
     )
 
 
 @query("gbt_learning_curve")
 def gbt_learning_curve(spark: SparkSession, sf: str) -> DataFrame:
     data = _data(spark, sf)
-    return models.curve_long(models.learning_curve(data.vectors(data.train), _boosted(), folds=2))
+    return models.curve_long(models.learning_curve(data.train_vectors, _boosted(), folds=2))
 
 
 @query("importance_topk")
 def importance_topk(spark: SparkSession, sf: str) -> DataFrame:
     data = _data(spark, sf)
-    return models.top_importance(models.gini_importance(spark, _boosted().fit(data.vectors(data.train)), data.names), 12)
+    return models.top_importance(models.gini_importance(spark, _boosted().fit(data.train_vectors), data.names), 12)
 
 
 @query("subset_model")
@@ -203,7 +201,7 @@ def subset_model(spark: SparkSession, sf: str) -> DataFrame:
     whole = _data(spark, sf)
     store = prepare.of_families(whole.store, prepare.DISEASE_FAMILIES)
     data = _matrix(whole.courses, store, _TREATMENT, ("attending",), "subset")
-    return evaluate.auc_interval(models.score(_boosted().fit(data.vectors(data.train)), data.vectors(data.test)))
+    return evaluate.auc_interval(models.score(_boosted().fit(data.train_vectors), data.test_vectors))
 
 
 @query(
