@@ -34,9 +34,11 @@ def bucketed(df: DataFrame, name: str, keys: Iterable[str] = KEYS, buckets: int
     """``df`` written in the shared folder, clustered and sorted by ``keys`` in ``buckets`` parts, and read back.
 
     ``buckets`` defaults to the session's shuffle partitions. The table is registered under a name of its own
-    in the session's catalog, which is how Spark knows the buckets.
+    in the session's catalog, which is how Spark knows the buckets. As each bucket is one sorted file, the session is told
+    to trust that order: a join of many tables in one stage would otherwise hold a sort buffer for each.
     """
     spark, keys = df.sparkSession, list(keys)
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"coursemill_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/coursemill/{table}"
