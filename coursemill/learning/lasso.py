@@ -9,8 +9,9 @@ path goes on. A penalty is done when every coefficient of every fit, in the work
 optimality condition, so what the strong rule wrongly left out comes in.
 
 A fold's fit leaves the fold's rows out. Its curvature is that of all rows, weighted by the fit to all rows, less
-the fold's part, so that all fits take the work of one; conditions are checked with each fit's own gradient. Where that does not settle, as with few
-rows for the columns, each fit's own curvature is summed up, and at last an upper bound of it.
+the fold's part, so that all fits take the work of one; conditions are checked with each fit's own gradient.
+Where that does not settle, as with few rows for the columns, each fit's own curvature is summed up, and at
+last an upper bound of it.
 
 Passes return one row per group of tasks, added up in two levels. The driver holds coefficients and the
 curvature of the working set, never rows.
