@@ -227,3 +227,24 @@ def test_open_ended_intervals_equal_brute_force_in_few_rows(spark, day):
     number = lambda c: F.floor(F.unix_date(c) / 64)
     sizes = q.where("low <= high").select(F.size(dyadic_pieces(number(F.col("low")), number(F.col("high")))).alias("n"))
     assert sizes.agg(F.max("n")).first()[0] < 40
+
+
+def test_days_in_intervals_match_a_comparison_of_every_pair(spark):
+    from datetime import date, timedelta
+    from random import Random
+
+    from coursemill.operators.intervals import days_in_intervals
+
+    draw, origin = Random(3), date(1969, 11, 1)  # day numbers below and above zero
+    at = lambda n: origin + timedelta(days=n)
+    points = sorted({(draw.choice("ab"), draw.randrange(400)) for _ in range(150)})
+    spans = [(draw.choice("abc"), draw.choice(["x", "y", None]), low, low + draw.choice([-1, 0, 1, 30, 63, 64, 65, 200])) for low in (draw.randrange(400) for _ in range(60))]
+    spans += spans[:20]
+    found = days_in_intervals(
+        spark.createDataFrame([(k, at(n)) for k, n in points], "k string, day date"),
+        spark.createDataFrame([(k, v, at(low), at(high)) for k, v, low, high in spans], "k string, v string, low date, high date"),
+        ["k"], ["v"], "day", "low", "high",
+    )
+    expected = {(k, at(n), v) for k, n in points for kk, v, low, high in spans if kk == k and low <= n <= high}
+    got = [tuple(r) for r in found.select("k", "day", "v").collect()]
+    assert len(got) == len(set(got)) and set(got) == expected

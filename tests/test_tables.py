@@ -48,3 +48,38 @@ def test_expanded_positions_equal_a_pivot(spark, store, monkeypatch):
 def test_wide_rows_without_columns(spark):
     rows = spark.createDataFrame([(1, "a", [])], "pid long, course string, present array<int>")
     assert tables.expand_positions(rows, "present", []).columns == ["pid", "course"]
+
+
+def test_tables_clustered_by_patient_meet_by_patient_and_day_without_a_shuffle(spark):
+    from coursemill.plans.tables import bucketed
+
+    rows = spark.range(200).selectExpr("id % 7 AS pid", "id % 11 AS course", "id % 5 AS day")
+    left, right = (bucketed(rows.distinct(), n, ["pid"], 4) for n in ("left", "right"))
+    joined = left.join(right.withColumnRenamed("course", "other").hint("merge"), ["pid", "day"])
+    assert "Exchange" not in joined.groupBy("pid", "day", "course").count()._jdf.queryExecution().executedPlan().toString()
+    expected = rows.distinct().join(rows.distinct().withColumnRenamed("course", "other"), ["pid", "day"])
+    assert sorted(joined.collect()) == sorted(expected.collect())
+
+
+def test_shuffles_start_with_more_partitions_for_larger_files(spark, tmp_path, monkeypatch):
+    from coursemill import session
+    from coursemill.workload import roles
+
+    setting = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(setting, None)
+    spark.range(5000).write.parquet(str(tmp_path / "t.parquet"))
+    monkeypatch.setattr(session, "PARTITION_BYTES", 64)
+    try:
+        assert roles.table(spark, str(tmp_path), "t").count() == 5000
+        assert session.partitions(spark) == int(spark.conf.get(setting)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
+def test_shared_names_do_not_shuffle_the_store(spark):
+    from coursemill.operators.reshape import family_safe
+
+    rows = spark.createDataFrame([(1, "A", "x", "n"), (1, "A", "y", "n"), (2, "B", "x", "m")], "pid int, course string, family string, feature string")
+    told = family_safe(rows)
+    assert "SortMergeJoin" not in told._jdf.queryExecution().executedPlan().toString()
+    assert {r["feature"] for r in told.collect()} == {"n.x", "n.y", "m"}
