@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from coursemill.functions import parse_date, parse_number
 from coursemill.learning import prepare
 from coursemill.operators.reshape import family_safe
-from coursemill.plans import assemble
+from coursemill.plans import assemble, features
+from coursemill.plans.cohort import KEYS
+from coursemill.plans.tables import bucketed
 from coursemill.session import materialise
-from coursemill.workload import codes, families, roles  # noqa: F401 - codes registers its queries first
-from coursemill.workload.registry import queries, query, sql_twins
+from coursemill.workload import codes, families, roles
+from coursemill.workload.registry import query, sql_twins
 
+#: The queries whose results are stored; ``_family_parts`` computes them from shared tables.
 _FAMILY_QUERIES = ("agent_windows", "med_windows", "abnormal_labs", "prior_procs", "course_diagnoses", "history_union")
 
 
@@ -27,16 +30,32 @@ _STORES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def full_store(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(final courses, long store of all families for these courses); each is computed and written once."""
+    """(final courses, long store of all families for these courses); each is computed and written once.
+
+    Orders and lines are written once, clustered by patient, so that no family shuffles its rows.
+    """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORES:
-        known = queries()
-        courses = materialise(families.final_courses(spark, sf), "full-courses")
-        store = assemble.long_store([known[q](spark, sf).select("pid", "course", "family", "feature", "value") for q in _FAMILY_QUERIES])
-        _STORES[key] = courses, materialise(assemble.eligible_features(store, courses), "full-store")
+        lines = roles.by_patient(roles.lines(spark, sf), "lines")
+        orders = bucketed(roles.table(spark, sf, "orders").withColumn("pid", F.col("o_custkey")), "orders", ["pid"]).withColumn("o_custkey", F.col("pid"))
+        courses = bucketed(families.final_courses(spark, sf, orders=orders, lines=lines), "full_courses", KEYS, by=["pid"])
+        parts = [assemble.eligible_features(p, courses) for p in _family_parts(spark, sf, roles.spine(spark, sf, orders), lines)]
+        # one after the other: together they would share the memory of a task
+        _STORES[key] = courses, assemble.long_store([materialise(p.select(*KEYS, "family", "feature", "value"), "full-store") for p in parts])
     return _STORES[key]
 
 
+def _family_parts(spark: SparkSession, sf: str, spine: DataFrame, lines: DataFrame) -> list[DataFrame]:
+    """What the family queries return, agents and classes of drugs in one pass."""
+    return [
+        features.drug_features(spine, roles.medications(spark, sf, lines), roles.drug_dictionary(spark, sf), roles.AGENT_KEYWORD, roles.AGENT_EXCLUDED),
+        features.abnormal_labs(spine, roles.labs(spark, sf, lines)),
+        families._procedures(spark, sf, spine, lines),
+        codes._course_diagnoses(spark, sf, spine, codes._charged(spark, sf, lines)),
+        codes._past_history(spark, sf, spine, lines),
+    ]
+
+
 _SAFE = """names AS (SELECT DISTINCT family, feature FROM stored),
 shared AS (SELECT feature FROM names GROUP BY feature HAVING count(*) > 1)"""
 
