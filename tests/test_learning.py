@@ -225,3 +225,17 @@ def test_permuted_losses_equal_dense_rescoring(spark, matrix):
     assert max(importance, key=importance.get) == "signal"
     gini = {r.feature: r.importance for r in models.gini_importance(spark, forest, NAMES).collect()}
     assert max(gini, key=gini.get) == "signal"
+
+
+def test_kernel_machine_fits_go_side_by_side(spark, matrix, monkeypatch):
+    from threading import Barrier
+
+    plain, together = models.LinearSVC.fit, Barrier(4)
+
+    def fit(self, *args):
+        together.wait(60)  # three folds and all rows
+        return plain(self, *args)
+
+    monkeypatch.setattr(models.LinearSVC, "fit", fit)
+    machine = models.KernelMachine(dimensions=8, max_iter=3).fit(matrix)
+    assert machine.score(matrix).count() == matrix.count()
