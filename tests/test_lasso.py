@@ -71,3 +71,24 @@ def test_one_class_and_no_columns(spark):
     df = spark.createDataFrame([(1.0, [0], [1.0]), (1.0, [], [])], "label double, indices array<int>, values array<double>")
     path = lasso.fit_path(lasso.packed(df, 3), [0.1])
     assert not path.coefficients.any()
+
+
+def test_blocks_stay_with_the_executors_during_a_path(spark, data, monkeypatch):
+    rows = lasso.packed(frame(spark, data[0]), 14, 4)
+    plain, kept = lasso.moments, []
+    monkeypatch.setattr(lasso, "moments", lambda r: kept.append(r.blocks.storageLevel.useMemory) or plain(r))
+    lasso.fit_path(rows, [0.2])
+    assert kept == [True] and not rows.blocks.storageLevel.useMemory
+
+
+def test_laid_out_blocks_add_up_as_others(monkeypatch):
+    cells = {"labels": np.array([1.0, 0, 1]), "folds": np.zeros(3, np.int32), "sizes": np.array([2, 0, 2], np.int32), "values": np.array([2.0, 3, 4, 5])}
+    for index in ([0, 3, 1, 3], [0, 3, 1, 1]):  # the second has a cell twice
+        packed = {"rows": 3, "indices": np.array(index, np.int32).tobytes(), **{k: v.tobytes() for k, v in cells.items()}}
+        weights, columns = np.array([[1.0, 2], [3, 4], [5, 6]]), np.array([1, 3])
+        fast = lasso._Block(packed, 5)
+        with monkeypatch.context() as m:
+            m.setattr(lasso, "LAID_OUT", 0)
+            slow = lasso._Block(packed, 5)
+        assert (fast.whole is None) == (index[-2:] == [1, 1]) and slow.whole is None
+        assert fast.totals(weights).tolist() == slow.totals(weights).tolist() and fast.dense(columns).tolist() == slow.dense(columns).tolist()
