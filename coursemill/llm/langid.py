@@ -32,16 +32,22 @@ GRAM_LENGTHS = (5, 4, 3, 2, 1)
 #: Distinct keys that a task counts before it hands them on, and words that a worker remembers.
 HELD_KEYS = 300_000
 REMEMBERED = 300_000
+#: Texts of which a worker looks up the new words together.
+TEXTS = 256
 UNDETERMINED = "und"
 #: The most that one word can say against a language, in natural logarithms, so that the words' number
 #: decides between languages in a mixed text and not how rare a few of them are.
 MOST_EVIDENCE = 4.0
 
 WORDS = re.compile(r"[^\W\d_]+")
+#: ASCII with everything but small letters as a space.
+_SMALL = {c: chr(c) if chr(c).isalpha() else " " for c in range(128)}
 COUNTS = "lang string, length int, token string, n long"
 
 
 def words_of(text: str) -> list[str]:
+    if text.isascii():  # the same without the pattern
+        return text.lower().translate(_SMALL).split()
     return WORDS.findall(text.lower())
 
 
@@ -134,6 +140,26 @@ class Model:
                     return self.logs[hits].mean(axis=0)
         return None
 
+    def unknown_vectors(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``vector`` of many words that are not known: (whether they have one, their rows)."""
+        lengths = [(length, self.rows[length]) for length in GRAM_LENGTHS if self.rows.get(length)]
+        flat: list[int] = []
+        sizes = np.zeros(len(words), dtype=np.int64)
+        for i, word in enumerate(words):
+            for length, known in lengths:
+                hits = [known[g] for g in grams_of(word, length) if g in known]
+                if hits:
+                    flat += hits
+                    sizes[i] = len(hits)
+                    break
+        owner, rows = np.repeat(np.arange(len(words)), sizes), self.logs[flat]
+        sums = np.stack([np.bincount(owner, rows[:, i], len(words)) for i in range(len(self.langs))], axis=1)
+        return sizes > 0, sums / np.maximum(sizes, 1)[:, None]
+
+
+def _bounded(vectors: np.ndarray) -> np.ndarray:
+    return np.maximum(vectors - vectors.max(axis=1, keepdims=True), -MOST_EVIDENCE)
+
 
 def collect_model(kept: DataFrame) -> Model:
     """The bounded model: at most (words + lengths x n-grams) rows for each language."""
@@ -173,36 +199,41 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         count = len(own.langs)
-        # row 0 is for words that say nothing; a worker's remembered words have the rows after it
-        table, memory = np.zeros((1024, count)), {}
-
-        def row(word: str) -> int:
-            nonlocal table
-            v = own.vector(word)
-            if v is None:
-                memory[word] = 0
-                return 0
-            memory[word] = at = len(memory) + 1
-            if at >= len(table):
-                table = np.concatenate([table, np.zeros_like(table)])
-            table[at] = np.maximum(v - v.max(), -MOST_EVIDENCE)
-            return at
+        known = {word: 1 + at for word, at in own.rows.get(0, {}).items()}
+        # row 0 is for words that say nothing; the model's rows follow, and then a worker's remembered words
+        table = np.concatenate([np.zeros((1, count)), _bounded(own.logs)]) if count else np.zeros((1, 0))
+        memory, used = dict(known), len(table)
+
+        def learn(words: list[str]) -> None:
+            nonlocal table, used
+            has, vectors = own.unknown_vectors(words)
+            new = _bounded(vectors[has])
+            if used + len(new) > len(table):
+                table = np.concatenate([table, np.zeros((max(len(table), len(new)), count))])
+            table[used : used + len(new)] = new
+            memory.update(zip(words, np.where(has, used - 1 + np.cumsum(has), 0).tolist()))
+            used += len(new)
 
         for batch in batches:
             names, scores = [], []
-            for text in batch.pop("_text"):
-                words = words_of(text) if text else []
-                if not words or not count:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                if len(memory) > REMEMBERED:
-                    memory.clear()
-                rows = [memory[w] if w in memory else row(w) for w in words]
-                total = table[rows].sum(axis=0)
-                best = int(np.argmax(total))
-                names.append(own.langs[best])
-                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+            texts = batch.pop("_text").tolist()
+            for begin in range(0, len(texts), TEXTS):
+                lists = [words_of(text) if text else [] for text in texts[begin : begin + TEXTS]]
+                if count:
+                    if len(memory) > REMEMBERED + len(known):
+                        memory, used = dict(known), 1 + len(own.logs)
+                    new = {word for words in lists for word in words if word not in memory}
+                    if new:
+                        learn(list(new))
+                for words in lists:
+                    if not words or not count:
+                        names.append(UNDETERMINED)
+                        scores.append(0.0)
+                        continue
+                    total = np.add.reduce(table.take(list(map(memory.__getitem__, words)), axis=0), axis=0)
+                    best = int(np.argmax(total))
+                    names.append(own.langs[best])
+                    scores.append(float(1.0 / np.exp(total - total[best]).sum()))
             yield batch.assign(lang_pred=names, score=scores)
 
     kept = docs.select(*keep)

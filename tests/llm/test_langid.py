@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from coursemill.llm import langid
 from coursemill.llm.op06 import op6
 
@@ -38,3 +42,23 @@ def test_bound_keeps_the_most_frequent(spark):
     counts = spark.createDataFrame([("en", 0, w, n) for w, n in (("a", 5), ("b", 4), ("c", 2), ("d", 2))], "lang string, length int, token string, n long")
     for bound, kept in ((4, "abcd"), (3, "ab"), (2, "ab"), (1, "a")):
         assert {r.token for r in langid.most_frequent(counts, bound).collect()} == set(kept)
+
+
+def test_words_of_ascii_and_many_vectors_are_the_plain_ones():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("aZq_09 .-\x1c\x85\n\t'<é") for _ in range(rng.randint(0, 40)))
+        assert langid.words_of(text) == langid.WORDS.findall(text.lower())
+    every = "".join(map(chr, range(128)))
+    assert langid.words_of("x" + "x".join(every)) == langid.WORDS.findall(("x" + "x".join(every)).lower())
+    rows, logs = {}, np.random.default_rng(3).normal(size=(400, 3))
+    for number in range(400):
+        length = rng.choice([0, 1, 2, 3, 5])
+        rows.setdefault(length, {})["".join(rng.choice("<abc>") for _ in range(length or 4))] = number
+    model = langid.Model(["a", "b", "c"], rows, logs)
+    words = ["".join(rng.choice("abcxyz") for _ in range(rng.randint(1, 30))) for _ in range(500)]
+    words = [w for w in words if w not in rows[0]] + ["xyz"]
+    has, vectors = model.unknown_vectors(words)
+    for word, found, vector in zip(words, has, vectors):
+        plain = model.vector(word)
+        assert (plain is not None) == found and (plain is None or (plain == vector).all())
