@@ -4,7 +4,7 @@ Every window of ``length`` bytes must meet its equals, wherever they are, and mo
 
 1. Each window is represented by its minimizer, the smallest hash of the k-byte strings in it; equal
    windows have equal minimizers. Runs of windows with one minimizer are the unit of work. Chunks of
-   documents send their distinct minimizers, 8 bytes each, to buckets; a bucket answers each chunk
+   documents send their distinct minimizers, 48 bits each, to buckets; a bucket answers each chunk
    with those that more than one document has. This only leaves out windows without an equal.
 2. Chunks send the remaining runs' bytes, each distinct one once, with the places it occurs at, to the
    shard of its minimizer. Equal windows thus meet in one shard.
@@ -42,6 +42,8 @@ CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 16 << 20, 4 << 20
 SLICE = 1 << 18
 #: Memory for the queues of a shard's suffix sort; more goes to disk.
 SHARD_MEMORY = 64 << 20
+#: Bits of a minimizer that is sent. Different ones that fall together only keep some windows without an equal.
+BITS = 48
 
 _U = np.uint64
 
@@ -78,7 +80,7 @@ def _minimizers(data: np.ndarray, start: int, count: int, length: int, k: int) -
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of (minimizer, document, first window, windows) of the runs; documents are data[offsets[i]:offsets[i+1]].
 
-    The minimizer is mixed again and even, which leaves a bit for a mark.
+    The minimizer is mixed again, cut to ``BITS`` and doubled, which leaves a bit for a mark.
     """
     ends = offsets[1:] - length  # the last window of each document
     for start in range(0, int(offsets[-1]) - length + 1, SLICE):
@@ -107,7 +109,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Itera
             part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             begin, size, doc = (np.repeat(x, parts) for x in (begin, size, doc))
             begin, size = begin + part * MOST_WINDOWS, np.minimum(size - part * MOST_WINDOWS, MOST_WINDOWS)
-        yield _mix(least[begin]) << _U(1), doc, begin + start, size
+        yield (_mix(least[begin]) >> _U(64 - BITS)) << _U(1), doc, begin + start, size
 
 
 def packed_hashes(values: np.ndarray) -> bytes:
@@ -120,6 +122,15 @@ def unpacked_hashes(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def packed_numbers(values: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane: the planes of small numbers' high bytes compress to nothing."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_numbers(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").ravel().astype(np.int64, copy=False)
+
+
 class Chunk:
     """The documents of one chunk as bytes; rows without doc_id neither give nor take."""
 
@@ -160,7 +171,28 @@ def _several(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return h[at] | (d[at] != d[last]).astype(np.uint64)
 
 
-OCCURRENCES = "shard long, chunk long, texts binary, sizes binary, least binary, times binary, ids binary, rows binary, starts binary"
+def shared_hashes(sent: list[np.ndarray]) -> np.ndarray:
+    """The distinct hashes, in order and without marks, that several senders have or one has marked."""
+    together = np.sort(np.concatenate(sent))
+    plain = together & ~_U(1)
+    # a hash's marked copies stand behind its others
+    first = np.flatnonzero(np.append(True, plain[1:] != plain[:-1])[: len(plain)])
+    last = np.append(first[1:], len(plain))[: len(first)] - 1
+    return plain[first[(last > first) | ((together[last] & _U(1)) == 1)]]
+
+
+def held_hashes(own: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Those of a sender's hashes, without marks, that are among the sorted ``shared``; a search each, as these are many times its own."""
+    plain = own & ~_U(1)
+    if not len(shared):
+        return plain[:0]
+    at = np.minimum(np.searchsorted(shared, plain), len(shared) - 1)
+    return plain[shared[at] == plain]
+
+
+OCCURRENCES = "shard long, chunk long, texts binary, sizes binary, times binary, ids binary, rows binary, starts binary"
+#: Arrow's codec for the occurrences' texts.
+TEXT_CODEC = "zstd"
 SPANS = "chunk long, rows binary, starts binary, ends binary"
 
 
@@ -215,9 +247,9 @@ def _shard_spans(table: pa.Table, length: int, memory: int) -> pa.Table:
     least: list[int] = []
     parts = []  # (chunk, text of each occurrence, ids, rows, starts)
     for row in table.to_pylist():
-        sizes = _joined([row["sizes"]], np.int64)
-        ids_least, times = _joined([row["least"]], np.int64), _joined([row["times"]], np.int64)
-        blob, at, numbers = row["texts"], 0, []
+        sizes, times, ids, rows, starts = (unpacked_numbers(row[c]) for c in ("sizes", "times", "ids", "rows", "starts"))
+        ids_least = np.minimum.reduceat(ids, np.cumsum(times) - times)
+        blob, at, numbers = pa.decompress(row["texts"], int(sizes.sum()), TEXT_CODEC, asbytes=True), 0, []
         for size, first in zip(sizes.tolist(), ids_least.tolist()):
             text = blob[at : at + size]
             at += size
@@ -229,7 +261,7 @@ def _shard_spans(table: pa.Table, length: int, memory: int) -> pa.Table:
             elif first < least[number]:
                 least[number] = first
             numbers.append(number)
-        parts.append((row["chunk"], np.repeat(np.array(numbers, dtype=np.int64), times), *(_joined([row[c]], np.int64) for c in ("ids", "rows", "starts"))))
+        parts.append((row["chunk"], np.repeat(np.array(numbers, dtype=np.int64), times), ids, np.cumsum(rows), starts))
     smallest = np.array(least, dtype=np.int64)
     found, begins = covered(texts, smallest, length, memory)
     lengths = np.array([len(t) for t in texts])
@@ -316,7 +348,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = MINIMIZER, m
         if not found:
             return pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary())})
         marked = _several(*(np.concatenate(x) for x in zip(*found)))
-        cuts = [(i << 64) // buckets for i in range(1, buckets)]
+        cuts = [(i << (BITS + 1)) // buckets for i in range(1, buckets)]
         bounds = [0, *np.searchsorted(marked, np.array(cuts, dtype=np.uint64)).tolist(), len(marked)]
         full = [(b, x, y) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x]
         return pa.table(
@@ -329,10 +361,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = MINIMIZER, m
 
     def answered(table: pa.Table) -> pa.Table:
         sent = [unpacked_hashes(b) for b in table["hashes"].to_pylist()]
-        together = np.sort(np.concatenate(sent))
-        plain = together & ~_U(1)
-        shared = np.unique(np.concatenate([plain[1:][plain[1:] == plain[:-1]], plain[(together & _U(1)) == 1]]))
-        replies = [s[np.isin(s & ~_U(1), shared)] & ~_U(1) for s in sent]
+        shared = shared_hashes(sent)
+        replies = [held_hashes(s, shared) for s in sent]
         full = [i for i, r in enumerate(replies) if len(r)]
         numbers = table["chunk"].to_pylist()
         return pa.table(
@@ -340,7 +370,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = MINIMIZER, m
         )
 
     def occurrences(table: pa.Table, replies: pa.Table) -> pa.Table:
-        schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("texts", "sizes", "least", "times", "ids", "rows", "starts")]])
+        schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("texts", "sizes", "times", "ids", "rows", "starts")]])
         if not table.num_rows or not replies.num_rows:
             return schema.empty_table()
         chunk = Chunk(table)
@@ -359,18 +389,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = MINIMIZER, m
         for shard, texts in sorted(by_shard.items()):
             flat = np.array([o for found in texts.values() for o in found], dtype=np.int64)
             times = np.array([len(found) for found in texts.values()], dtype=np.int64)
-            ids = chunk.docs[flat[:, 0]]
             out.append(
                 {
                     "shard": shard,
                     "chunk": number(table),
-                    "texts": b"".join(texts),
-                    "sizes": np.array([len(t) for t in texts], dtype=np.int64).tobytes(),
-                    "least": np.minimum.reduceat(ids, np.cumsum(times) - times).tobytes(),
-                    "times": times.tobytes(),
-                    "ids": ids.tobytes(),
-                    "rows": chunk.rows[flat[:, 0]].tobytes(),
-                    "starts": (flat[:, 1] - chunk.offsets[flat[:, 0]]).tobytes(),
+                    "texts": pa.compress(b"".join(texts), TEXT_CODEC, asbytes=True),
+                    "sizes": packed_numbers(np.array([len(t) for t in texts], dtype=np.int64)),
+                    "times": packed_numbers(times),
+                    "ids": packed_numbers(chunk.docs[flat[:, 0]]),
+                    "rows": packed_numbers(np.diff(chunk.rows[flat[:, 0]], prepend=0)),
+                    "starts": packed_numbers(flat[:, 1] - chunk.offsets[flat[:, 0]]),
                 }
             )
         return pa.Table.from_pylist(out, schema)

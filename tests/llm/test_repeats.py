@@ -62,3 +62,33 @@ def test_packed_hashes_round_trip():
 
     values = np.array([0, 2, 2**40, 2**63 + 4, 2**64 - 2], dtype=np.uint64)
     assert repeats.unpacked_hashes(repeats.packed_hashes(values)).tolist() == values.tolist()
+
+
+def test_shared_hashes_against_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        sent = [np.unique(rng.integers(0, 40, rng.integers(1, 20)).astype(np.uint64)) * np.uint64(2) for _ in range(rng.integers(1, 5))]
+        sent = [s | (rng.integers(0, 6, len(s)) == 0).astype(np.uint64) for s in sent]  # some are marked
+        plain = [{int(h) & ~1 for h in s} for s in sent]
+        wanted = {h for own in plain for h in own if sum(h in other for other in plain) > 1} | {int(h) - 1 for s in sent for h in s if h % 2}
+        shared = repeats.shared_hashes(sent)
+        assert shared.tolist() == sorted(wanted)
+        for s, own in zip(sent, plain):
+            assert repeats.held_hashes(s, shared).tolist() == sorted(own & wanted)
+    assert repeats.held_hashes(np.array([2, 5], np.uint64), np.zeros(0, np.uint64)).tolist() == []
+
+
+def test_small_numbers_take_few_bytes_on_the_way():
+    import numpy as np
+    import pyarrow as pa
+
+    numbers = np.random.default_rng(1).integers(0, 1 << 16, 5000)
+    blob = repeats.packed_numbers(numbers)
+    assert repeats.unpacked_numbers(blob).tolist() == numbers.tolist()
+    assert repeats.unpacked_numbers(repeats.packed_numbers(np.array([-1, 2**62, -(2**63)]))).tolist() == [-1, 2**62, -(2**63)]
+    assert len(pa.compress(blob, "lz4", asbytes=True)) < 0.6 * len(pa.compress(numbers.astype(np.int64).tobytes(), "lz4", asbytes=True))
+    data = np.frombuffer(np.random.default_rng(2).bytes(4000) + bytes(64), np.uint8)
+    found = np.concatenate([least for least, *_ in repeats.runs_of(data, np.array([0, 4000]), 50, 20)])
+    assert found.max() < 1 << 49 and not (found & np.uint64(1)).any()
