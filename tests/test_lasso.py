@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coursemill.learning import lasso
 
@@ -92,3 +93,23 @@ def test_laid_out_blocks_add_up_as_others(monkeypatch):
             slow = lasso._Block(packed, 5)
         assert (fast.whole is None) == (index[-2:] == [1, 1]) and slow.whole is None
         assert fast.totals(weights).tolist() == slow.totals(weights).tolist() and fast.dense(columns).tolist() == slow.dense(columns).tolist()
+
+
+def test_sums_of_all_steps_repeat_no_row(spark):
+    from coursemill.workload import learners
+
+    rng = np.random.default_rng(8)
+    width = len(learners._LASSO_COLUMNS)
+    data = rng.normal(size=(50, width)) * 30
+    label = rng.integers(0, 2, 50).astype(float)
+    lists = [[float(y), *map(float, v)] for y, v in zip(label, data)]
+    lists.append([1.0, None, *[2.0] * (width - 1)])  # counts in no sum
+    ddl = ", ".join(f"`{c}` double" for c in ("label", *learners._LASSO_COLUMNS))
+    steps = [(i, 0.1, float(rng.normal()), [float(b) for b in rng.normal(size=width)]) for i in range(4)]
+    found = learners._rest_sums(spark.createDataFrame(lists, ddl).repartition(3), steps)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    sums = {r["step"]: list(r)[1:] for r in found.groupBy("step").agg(*[F.sum(f"`{c}`") for c in found.columns[1:]]).collect()}
+    for step, _, intercept, beta in steps:
+        with np.errstate(over="ignore"):
+            rest = label - 1 / (1 + np.exp(-(data @ np.array(beta) + intercept)))
+        assert np.allclose(sums[step], [rest.sum(), *(rest @ data)], rtol=1e-9, atol=1e-9)
