@@ -4,7 +4,7 @@ Every window of ``length`` bytes must meet its equals, wherever they are, and mo
 
 1. Each window is represented by its minimizer, the smallest hash of the k-byte strings in it; equal
    windows have equal minimizers. Runs of windows with one minimizer are the unit of work. Chunks of
-   documents send their distinct minimizers, 48 bits each, to buckets; a bucket answers each chunk
+   documents send their distinct minimizers, 40 bits each, to buckets; a bucket answers each chunk
    with those that more than one document has. This only leaves out windows without an equal.
 2. Chunks send the remaining runs' bytes, each distinct one once, with the places it occurs at, to the
    shard of its minimizer. Equal windows thus meet in one shard.
@@ -42,8 +42,8 @@ CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 16 << 20, 4 << 20
 SLICE = 1 << 18
 #: Memory for the queues of a shard's suffix sort; more goes to disk.
 SHARD_MEMORY = 64 << 20
-#: Bits of a minimizer that is sent. Different ones that fall together only keep some windows without an equal.
-BITS = 48
+#: Bits of a minimizer that is sent. Different ones that fall together only keep some windows without an equal: with 2^32 of them (some 60 GB) one in 256.
+BITS = 40
 
 _U = np.uint64
 

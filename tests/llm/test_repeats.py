@@ -92,3 +92,11 @@ def test_small_numbers_take_few_bytes_on_the_way():
     data = np.frombuffer(np.random.default_rng(2).bytes(4000) + bytes(64), np.uint8)
     found = np.concatenate([least for least, *_ in repeats.runs_of(data, np.array([0, 4000]), 50, 20)])
     assert found.max() < 1 << 49 and not (found & np.uint64(1)).any()
+
+
+def test_minimizers_are_sent_in_40_bits():
+    data = np.frombuffer(random.Random(7).randbytes(20_000) + bytes(64), np.uint8)
+    runs = list(repeats.runs_of(data, np.array([0, 20_000]), repeats.LENGTH, repeats.MINIMIZER))
+    least = np.concatenate([r[0] for r in runs])
+    assert (least >> np.uint64(41) == 0).all()  # the low bit is left for a mark
+    assert len(np.unique(least)) > 1000
