@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 
@@ -140,6 +141,21 @@ def test_boosting_scores_by_iteration(matrix):
     assert sorted(round(r.score, 9) for r in last.collect()) == sorted(round(r.score, 9) for r in models.score(model, matrix).collect())
 
 
+def test_grid_query_searches_the_whole_grid(monkeypatch):
+    from types import SimpleNamespace
+
+    from coursemill.workload import learners
+
+    asked = inspect.signature(models.grid_search)
+    monkeypatch.setattr(learners, "_data", lambda spark, sf: SimpleNamespace(train_vectors="rows"))
+    monkeypatch.setattr(models, "grid_search", lambda *a, **k: asked.bind(*a, **k))
+    call = learners.gbt_grid(None, "")
+    call.apply_defaults()
+    got = call.arguments
+    assert got["df"] == "rows" and (got["rounds"], got["rate"], got["folds"]) == (1000, 0.01, 5)
+    assert (tuple(got["subsample"]), tuple(got["columns"]), tuple(got["depth"])) == ((0.5, 0.75, 1.0), (0.4, 0.6, 0.8, 1.0), (4, 6, 8, 10))
+
+
 def test_learning_curve_grid_and_reports(spark, matrix):
     log = models.learning_curve(matrix, models.boosted_trees(rounds=3, rate=0.3, depth=2, columns=1.0), folds=2, at=[1, 3])
     log = spark.createDataFrame(log.collect(), log.schema)
