@@ -82,6 +82,15 @@ def test_blocks_stay_with_the_executors_during_a_path(spark, data, monkeypatch):
     assert kept == [True] and not rows.blocks.storageLevel.useMemory
 
 
+def test_few_blocks_are_read_cached_and_handed_on_at_once(spark, data, monkeypatch):
+    rows = lasso.packed(frame(spark, data[0]), 14, 4)
+    settings = lambda: {spark.conf.get(f"spark.sql.{c}") for c in ("parquet.columnarReaderBatchSize", "inMemoryColumnarStorage.batchSize", "execution.arrow.maxRecordsPerBatch")}
+    before, plain, seen = settings(), lasso.moments, []
+    monkeypatch.setattr(lasso, "moments", lambda r: seen.append((r.blocks.storageLevel.useMemory, settings())) or plain(r))
+    lasso.fit_path(rows, [0.2])
+    assert seen == [(True, {"4"})] and settings() == before
+
+
 def test_laid_out_blocks_add_up_as_others(monkeypatch):
     cells = {"labels": np.array([1.0, 0, 1]), "folds": np.zeros(3, np.int32), "sizes": np.array([2, 0, 2], np.int32), "values": np.array([2.0, 3, 4, 5])}
     for index in ([0, 3, 1, 3], [0, 3, 1, 1]):  # the second has a cell twice
