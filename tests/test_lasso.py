@@ -91,6 +91,16 @@ def test_few_blocks_are_read_cached_and_handed_on_at_once(spark, data, monkeypat
     assert seen == [(True, {"4"})] and settings() == before
 
 
+def test_rows_of_no_fold_are_in_every_fit(spark, data, monkeypatch):
+    monkeypatch.setattr(lasso, "BLOCK_ROWS", 70)
+    rows = [(*r[:3], -1 if i % 3 == 0 else r[3]) for i, r in enumerate(data[0])]
+    path = lasso.fit_path(lasso.packed(frame(spark, rows), 14, 4), [0.05, 0.01])
+    y, x, fold = np.array([r[0] for r in rows]), np.array([d[1] for d in data[1]]), np.array([r[3] for r in rows])
+    for fit in range(5):
+        seen = (fold != fit - 1) | (fold < 0)
+        assert conditions(y[seen], x[seen], path.intercepts[1, fit], path.coefficients[1, fit], 0.01) <= 1.01 * lasso.TOLERANCE
+
+
 def test_laid_out_blocks_add_up_as_others(monkeypatch):
     cells = {"labels": np.array([1.0, 0, 1]), "folds": np.zeros(3, np.int32), "sizes": np.array([2, 0, 2], np.int32), "values": np.array([2.0, 3, 4, 5])}
     for index in ([0, 3, 1, 3], [0, 3, 1, 1]):  # the second has a cell twice
