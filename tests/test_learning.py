@@ -141,6 +141,17 @@ def test_boosting_scores_by_iteration(matrix):
     assert sorted(round(r.score, 9) for r in last.collect()) == sorted(round(r.score, 9) for r in models.score(model, matrix).collect())
 
 
+def test_kernel_fits_run_together_only_while_their_rows_fit(matrix, monkeypatch):
+    machine, plain, used = models.KernelMachine(dimensions=8, max_iter=3), models.ThreadPool, []
+    assert [models.KernelMachine().at_once(n, 4) for n in (0, 65_000, 100_000, 10**7)] == [4, 4, 2, 1]
+    monkeypatch.setattr(models, "ThreadPool", lambda n: used.append(n) or plain(n))
+    few = machine.fit(matrix).score(matrix)
+    monkeypatch.setattr(models, "FITS_BYTES", 1)
+    many = models.KernelMachine(dimensions=8, max_iter=3).fit(matrix).score(matrix)
+    assert used == [4, 1]
+    assert [round(r.score, 6) for r in few.orderBy("pid").collect()] == [round(r.score, 6) for r in many.orderBy("pid").collect()]
+
+
 def test_grid_query_searches_the_whole_grid(monkeypatch):
     from types import SimpleNamespace
 
