@@ -204,6 +204,23 @@ def test_sparse_design_equals_the_dense_one(spark):
     assert "CountVectorizer" not in plan and "Python" not in plan
 
 
+def test_rows_and_vectors_are_written_once(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from coursemill.workload import learners
+
+    df = spark.createDataFrame([(1, "a", True, 1.0, [0, 2], [1.5, 1.0]), (2, None, False, 0.0, [], [])], "pid int, course string, is_train boolean, label double, indices array<int>, values array<double>")
+    monkeypatch.setattr(sparse, "sparse_design", lambda *a, **k: SimpleNamespace(rows=df, width=4, named=list))
+    data = learners._matrix(None, None, (), (), "both")
+    assert data.train.inputFiles() == data.train_vectors.inputFiles()
+    plan = data.train_vectors._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and rows(data.train) == [(1, "a", 1.0, [0, 2], [1.5, 1.0])] and rows(data.test) == [(2, None, 0.0, [], [])]
+    both = data.train_vectors.unionByName(data.test_vectors)
+    assert rows(both) == rows(sparse.with_vectors(df.drop("is_train"), 4)) and both.columns == ["pid", "course", "label", "features"]
+    with pytest.raises(Exception, match="a column twice"):
+        sparse.written_both(spark.createDataFrame([(1, [2, 2], [1.0, 1.0])], "pid int, indices array<int>, values array<double>"), 4, "twice")
+
+
 def test_projection_is_the_laid_out_matrix():
     import numpy as np
 
